@@ -2,5 +2,102 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.flatten import Child, emit_tagged, read_tagged, write_tagged
+from ..operators.references import Reference, orphan_cascade, parent_states
+from ..runtime import table
+
+ENVELOPE_LISTS = (
+    Child("ingredients", "name", (Child("items", "name"),)),
+    Child("seasonings", "name", (Child("items", "name"),)),
+    Child("steps", "instruction", (Child("substeps", "instruction"),)),
+    Child("tags", "name", (Child("items", "name"),)),
+)
+
+
+def _tagged_envelopes(spark: SparkSession, sf_dir: str) -> str:
+    bodies = table(spark, sf_dir, "crawled_recipes").select("envelope_id", "body")
+    return write_tagged(emit_tagged(bodies, "envelope_id", "body", "recipe", ENVELOPE_LISTS), "envelopes")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_tagged(spark, _tagged_envelopes(spark, sf_dir))
+    # white space in the Unicode sense only is blank
+    text = rows.where(r"text is not null and not text rlike '^[\\s\\p{Z}\\x{85}\\x{1C}-\\x{1F}]*$'")
+    nested = F.instr("tag", ".") > 0
+    return text.select(
+        F.col("doc_key").alias("envelope_id"),
+        F.substring_index("tag", ".", 1).alias("section"),
+        F.when(nested, F.col("parent_pos")).otherwise(F.col("pos")).alias("pos"),
+        F.when(nested, F.col("pos")).otherwise(F.lit(0).cast("long")).alias("sub_pos"),
+        F.col("text").alias("item_text"),
+    ).distinct()
+
+
+def _references(spark: SparkSession, sf_dir: str) -> tuple[Reference, Reference]:
+    """Feedback to recipes and the bridge to the dictionary; a pair loaded twice counts from its first load."""
+    feedback = table(spark, sf_dir, "user_feedback").select(F.col("id").alias("row_id"), F.col("recipe_id").alias("ref_id"), F.col("created_at").alias("ref_time"))
+    used = (
+        table(spark, sf_dir, "recipe_ingredients")
+        .groupBy(F.col("recipe_id").alias("row_id"), F.col("ingredient_id").alias("ref_id"))
+        .agg(F.min("ingested_at").alias("ref_time"))
+    )
+    recipes = parent_states(table(spark, sf_dir, "recipes"), "id", "created_at", table(spark, sf_dir, "recipe_deletions"), "recipe_id")
+    ingredients = parent_states(table(spark, sf_dir, "ingredients"), "id", "created_at")
+    return Reference("user_feedback", feedback, "recipes", recipes), Reference("recipe_ingredients", used, "ingredients", ingredients)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faults = orphan_cascade(list(_references(spark, sf_dir))).where("cause = 'direct'")
+    return faults.select("source_table", "row_id", "ref_id", F.date_format("ref_time", "yyyy-MM").alias("ref_month"), "reason").distinct()
+
+
+def p7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct and inherited orphans where what refers to a recipe depends on its bridge rows too.
+
+    A recipe one of whose ingredients does not exist is not whole, and the feedback and documents on it inherit that.
+    """
+    feedback, used = _references(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("recipe_id").alias("ref_id"), F.col("crawled_at").alias("ref_time"))
+    graph = [feedback, used, Reference("documents", docs, "recipes", feedback.states)]
+    graph += [Reference(r.child, r.rows, "recipe_ingredients", None) for r in (graph[0], graph[2])]
+    return orphan_cascade(graph).where("reason <> 'late'").select("source_table", "row_id", "ref_id", "cause", "depth").distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_cascade": p7_cascade}
+SQL: dict[str, str] = {
+    "p7_found": """
+        WITH refs AS (
+          SELECT DISTINCT 'user_feedback' AS source_table, f.id AS row_id, f.recipe_id AS ref_id, f.created_at AS t,
+                 r.created_at AS since, r.id IS NOT NULL AS present, d.recipe_id IS NOT NULL AS deleted
+          FROM user_feedback f LEFT JOIN recipes r ON r.id = f.recipe_id
+               LEFT JOIN (SELECT DISTINCT recipe_id FROM recipe_deletions) d ON d.recipe_id = f.recipe_id
+          WHERE f.recipe_id IS NOT NULL
+          UNION ALL
+          SELECT 'recipe_ingredients', b.recipe_id, b.ingredient_id, b.t, i.created_at, i.id IS NOT NULL, FALSE
+          FROM (SELECT recipe_id, ingredient_id, min(ingested_at) AS t FROM recipe_ingredients
+                WHERE ingredient_id IS NOT NULL GROUP BY ALL) b LEFT JOIN ingredients i ON i.id = b.ingredient_id),
+        judged AS (
+          SELECT *, CASE WHEN NOT present AND deleted THEN 'deleted' WHEN NOT present THEN 'missing'
+                         WHEN since > t THEN 'late' END AS reason FROM refs)
+        SELECT DISTINCT source_table, row_id, ref_id, strftime(t, '%Y-%m') AS ref_month, reason
+        FROM judged WHERE reason IS NOT NULL""",
+    "p7_cascade": """
+        WITH direct AS (
+          SELECT 'recipe_ingredients' AS source_table, recipe_id AS row_id, ingredient_id AS ref_id FROM recipe_ingredients
+            WHERE ingredient_id IS NOT NULL AND ingredient_id NOT IN (SELECT id FROM ingredients)
+          UNION SELECT 'user_feedback', id, recipe_id FROM user_feedback
+            WHERE recipe_id IS NOT NULL AND recipe_id NOT IN (SELECT id FROM recipes)
+          UNION SELECT 'documents', doc_id, recipe_id FROM documents
+            WHERE recipe_id IS NOT NULL AND recipe_id NOT IN (SELECT id FROM recipes)),
+        inherited AS (
+          SELECT 'user_feedback' AS source_table, id AS row_id, recipe_id AS ref_id FROM user_feedback
+            WHERE recipe_id IN (SELECT row_id FROM direct WHERE source_table = 'recipe_ingredients')
+          UNION SELECT 'documents', doc_id, recipe_id FROM documents
+            WHERE recipe_id IN (SELECT row_id FROM direct WHERE source_table = 'recipe_ingredients'))
+        SELECT *, 'direct' AS cause, 0 AS depth FROM direct
+        UNION ALL SELECT i.*, 'inherited', 1 FROM inherited i
+          WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.source_table = i.source_table AND d.row_id = i.row_id)""",
+}
