@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.flatten import Child, emit_tagged, read_tagged, write_tagged
+from ..operators.quantities import measures, read_quantities
 from ..operators.references import Reference, orphan_cascade, parent_states
+from ..operators.unit_states import decode_units
 from ..runtime import table
 
 ENVELOPE_LISTS = (
@@ -66,7 +68,45 @@ def p7_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_cascade(graph).where("reason <> 'late'").select("source_table", "row_id", "ref_id", "cause", "depth").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_cascade": p7_cascade}
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridge pairs and crawled items with what their amounts state."""
+    units = measures(spark, table(spark, sf_dir, "measure_units"))
+    used = table(spark, sf_dir, "recipe_ingredients").select(
+        F.lit("recipe_ingredients").alias("source_table"), F.col("recipe_id").alias("row_id"), F.col("ingredient_id").alias("ref_id"), "amount"
+    )
+    crawled = table(spark, sf_dir, "crawled_ingredients").select(
+        F.lit("crawled_ingredients").alias("source_table"), F.col("item_id").alias("row_id"), F.lit(0).cast("long").alias("ref_id"), "amount", "name"
+    )
+    rows = used.withColumn("name", F.lit(None).cast("string")).unionByName(crawled).where("amount is not null and amount <> ''")
+    return read_quantities(rows, "amount", units, "name")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = _amounts(spark, sf_dir).where("base_unit is not null")
+    return stated.select("source_table", "row_id", "ref_id", "base_unit", "quantity_milli").distinct()
+
+
+def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare numbers of the crawled items with the unit that is likeliest for them, a device being an ingredient's name.
+
+    Readings that state a quantity enter as grams or millilitres; a bare number may be those, or kilograms or litres.
+    """
+    units = measures(spark, table(spark, sf_dir, "measure_units"))
+    rows = table(spark, sf_dir, "crawled_ingredients").select("item_id", "crawled_at", "name", "amount").where("name <> '' and amount <> ''").distinct()
+    read = read_quantities(rows, "amount", units, "name").where("base_unit is not null or bare is not null")
+    value = F.coalesce(F.col("quantity_milli") / 1000, F.col("bare"))
+    readings = read.select(
+        F.lower("name").alias("device"),
+        (F.year("crawled_at") * 12 + F.month("crawled_at")).alias("period"),
+        F.struct("crawled_at", "item_id").alias("seq"),
+        value.alias("value"),
+        F.when(F.col("base_unit").isNotNull(), "g").alias("unit"),
+    )
+    out = decode_units(readings, {"g": 1.0, "kg": 1000.0, "dag": 10.0})
+    return out.where("unit is null and decoded is not null").select(F.col("seq.item_id").alias("item_id"), "device", "value", "decoded")
+
+
+QUERIES = {"p5_found": p5_found, "p5_units": p5_units, "p6_found": p6_found, "p7_found": p7_found, "p7_cascade": p7_cascade}
 SQL: dict[str, str] = {
     "p7_found": """
         WITH refs AS (
