@@ -19,13 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Cyrillic and Greek letters and the Latin letters they look like (fixed values).
-CYRILLIC = "АВЕЅІЇЈКМНОРСТУХҮԌԚԜӀЁ" + "аеѕіїјорсухүһԁԛԝӏѵё"
-CYRILLIC_LATIN = "ABESIÏJKMHOPCTYXYGQWIË" + "aesiïjopcyxyhdqwlvë"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿϹ" + "αγικνορσυχϲϳ"
-GREEK_LATIN = "ABEZHIKMNOPTYXJC" + "ayikvopouxcj"
-LOOK = CYRILLIC + GREEK
-LATIN = CYRILLIC_LATIN + GREEK_LATIN
+from ..functions.lookalike import CYRILLIC_LATIN, GREEK_LATIN, LATIN, LOOK
 
 _WORD = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}]"
 _SPACES = r"[\t-\r\x{20}\x{85}\p{Z}]+"
