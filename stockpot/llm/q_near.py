@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import small_enough, table
 from .near_copies import group_pairs, near_copy_groups
+from .pairs import PairState, empty_state, scores, update
 
 
 def recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,41 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(recipe_texts(spark, sf_dir), 0.6, 3)
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+def _pair_state(spark: SparkSession, sf_dir: str) -> PairState:
+    """The pair counts after two loads: what had come by the end of the last year but one, then the changes since."""
+    known = table(spark, sf_dir, "ingredients").select(F.col("id").alias("item"))
+    raw = table(spark, sf_dir, "recipe_ingredients").select(F.col("recipe_id").alias("basket"), F.col("ingredient_id").alias("item"), "ingested_at")
+    rows = raw.join(F.broadcast(known) if small_enough(known, 10_000) else known, "item", "left_semi")
+    last = rows.agg(F.trunc(F.max("ingested_at"), "year").alias("cut"))
+    rows = rows.crossJoin(F.broadcast(last))
+    late = F.coalesce(F.col("ingested_at") >= F.col("cut"), F.lit(False))
+    state, _ = update(empty_state(rows), rows.where(~late))
+    state, _ = update(state, rows.where(late))
+    return state
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scores(_pair_state(spark, sf_dir))
+    often = s.where("n_ab >= 4 and n_ab * 100 >= n and n_ab * n >= 4 * n_a * n_b")
+    return often.select(F.col("a").alias("ingredient_a"), F.col("b").alias("ingredient_b")).distinct()
+
+
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with its counts and lift."""
+    s = scores(_pair_state(spark, sf_dir))
+    return s.select(F.col("a").alias("ingredient_a"), F.col("b").alias("ingredient_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_scores": p4_scores}
+_COUNTS = """
+    WITH used AS (SELECT DISTINCT recipe_id, ingredient_id FROM recipe_ingredients
+                  WHERE recipe_id IS NOT NULL AND ingredient_id IN (SELECT id FROM ingredients)),
+    item AS (SELECT ingredient_id, count(*) AS c FROM used GROUP BY 1),
+    pair AS (SELECT x.ingredient_id AS ingredient_a, y.ingredient_id AS ingredient_b, count(*) AS n_ab
+             FROM used x JOIN used y ON x.recipe_id = y.recipe_id AND x.ingredient_id < y.ingredient_id GROUP BY 1, 2),
+    counted AS (SELECT ingredient_a, ingredient_b, n_ab, a.c AS n_a, b.c AS n_b, (SELECT count(DISTINCT recipe_id) FROM used) AS n
+                FROM pair JOIN item a ON a.ingredient_id = ingredient_a JOIN item b ON b.ingredient_id = ingredient_b)"""
+SQL: dict[str, str] = {
+    "p4_found": _COUNTS + " SELECT ingredient_a, ingredient_b FROM counted WHERE n_ab >= 4 AND n_ab * 100 >= n AND n_ab * n >= 4 * n_a * n_b",
+    "p4_scores": _COUNTS + " SELECT *, round(CAST(n_ab * n AS DOUBLE) / (n_a * n_b), 6) AS lift FROM counted",
+}
