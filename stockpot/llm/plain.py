@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.lookalike import CYRILLIC_LATIN, GREEK_LATIN, LATIN, LOOK
@@ -25,7 +26,7 @@ _WORD = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}]"
 _SPACES = r"[\t-\r\x{20}\x{85}\p{Z}]+"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _normalized(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

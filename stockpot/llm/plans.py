@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("q_tokens", "q_text", "q_near")
+_MODULES = ("q_tokens", "q_text", "q_match", "q_near")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
