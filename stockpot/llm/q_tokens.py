@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from .encode import VOCABULARY, encode
+from .encode import VOCABULARY, encode, token_counts
+from .pack import fill_containers
+from .split import split_long
+
+#: Capacity of a container, and limit and overlap of pieces, in tokens.
+CAPACITY, LIMIT, OVERLAP = 4096, 1024, 64
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=VOCABULARY)
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and every part of one that is larger than a container, with its container."""
+    sizes = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=VOCABULARY)
+    return fill_containers(sizes.withColumnRenamed("doc_id", "item"), CAPACITY).withColumnRenamed("item", "doc_id")
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document of more than LIMIT tokens."""
+    return split_long(table(spark, sf_dir, "documents").select("doc_id", "text"), LIMIT, OVERLAP, vocabulary=VOCABULARY)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p10_pieces": p10_pieces}
 SQL: dict[str, str] = {}
