@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("records",)
+_MODULES = ("search", "records")
 
 
 def _modules():
