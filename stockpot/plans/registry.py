@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("search", "records")
+_MODULES = ("search", "matching", "loading", "records")
 
 
 def _modules():
