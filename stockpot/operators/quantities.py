@@ -172,8 +172,9 @@ def read_quantities(df: DataFrame, amount: str, table: list, name: str | None =
 
     Null, blank and vague amounts, counts of pieces and quantities of both mass and volume give nulls. With ``name``, a
     bare number takes the unit that stands with the name; without such a unit it is given in ``bare`` only. Every
-    batch reads each different amount once.
+    batch reads each different amount once. Columns of ``df`` with the names of the results are replaced.
     """
+    df = df.drop("base_unit", "quantity_milli", "bare")
     out = "base_unit string, quantity_milli long, bare double"
 
     @F.pandas_udf(out)
