@@ -150,7 +150,7 @@ def encoder(path: str) -> Encoder:
 def encode_batch(texts: list[str | None], enc: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, offsets of the texts in them)."""
     whole = [t or "" for t in texts]
-    text, ends = "".join(whole), np.cumsum([len(t) for t in whole])
+    text, ends = "".join(whole), np.cumsum([len(t) for t in whole], dtype=np.int64)
     bounds = piece_bounds(code_points(text), ends)
     cut = bounds.tolist()
     parts = enc.packed([text[a:b] for a, b in zip([0, *cut[:-1]], cut)])

@@ -1,0 +1,16 @@
+import pytest
+
+from oracle import same
+from stockpot.llm import plans
+
+QUERIES, SQL = plans.queries(), plans.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, data, name):
+    same(spark, data, QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, data, name):
+    assert QUERIES[name](spark, data).count() >= 0
