@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..runtime import written
 
 
 def normal_action(column: str = "action"):
@@ -55,8 +56,16 @@ def recall_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 
 def latency_p95(samples: DataFrame) -> DataFrame:
-    """(kind, n, p95, mean) of (kind, ms): the value at place int(0.95 n) - 1 from 0, at least the first."""
-    w = Window.partitionBy("kind")
-    placed = samples.withColumn("at", F.row_number().over(w.orderBy("ms"))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg("ms").over(w))
-    want = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95).cast("int"))
-    return placed.where(F.col("at") == want).select("kind", "n", F.col("ms").alias("p95"), "mean")
+    """(kind, n, p95, mean) of (kind, ms): the value at place int(0.95 n) - 1 from 0, at least the first.
+
+    Samples are sorted by ranges; counts of each range tell in which the place falls, and only that range is numbered.
+    """
+    sorted_ = written(samples.where("ms is not null").repartitionByRange("kind", "ms").withColumn("part", F.spark_partition_id()), "sorted")
+    counts = sorted_.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("ms").alias("s"))
+    by_kind = Window.partitionBy("kind")
+    # a row for each kind and range
+    placed = counts.select("kind", "part", "c", F.sum("c").over(by_kind).alias("n"), (F.sum("s").over(by_kind) / F.sum("c").over(by_kind)).alias("mean"), (F.sum("c").over(by_kind.orderBy("part")) - F.col("c")).alias("before"))
+    want = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95).cast("long"))
+    there = placed.withColumn("want", want).where((F.col("before") < F.col("want")) & (F.col("want") <= F.col("before") + F.col("c")))
+    inside = sorted_.join(F.broadcast(there), ["kind", "part"]).withColumn("at", F.row_number().over(Window.partitionBy("kind", "part").orderBy("ms")) + F.col("before"))
+    return inside.where(F.col("at") == F.col("want")).select("kind", "n", F.col("ms").alias("p95"), "mean")

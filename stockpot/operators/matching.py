@@ -93,7 +93,7 @@ def link_items(items: DataFrame, dictionary: DataFrame, vectors: tuple[DataFrame
     if vectors is not None:
         left, right = vectors
         open_ = left.join(linked, "item", "left_anti").select("item", F.col("vec").alias("a"))
-        near = open_.join(F.broadcast(right.select("id", F.col("vec").alias("b")).limit(10_001))).withColumn("d", cosine_distance(F.col("a"), F.col("b")))
+        near = open_.join(bounded_broadcast(right.select("id", F.col("vec").alias("b")), 10_000)).withColumn("d", cosine_distance(F.col("a"), F.col("b")))
         hits = near.where(1 - F.col("d") >= least).groupBy("item").agg(F.min_by("id", F.struct(F.round("d", 9), "id")).alias("id"))
         linked = linked.unionByName(hits.withColumn("tier", F.lit(4)))
     return items.select("item").distinct().join(linked, "item", "left")

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, tokens
-from ..runtime import bounded_broadcast
+from ..runtime import bounded_broadcast, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 
 def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, recipe_tags: DataFrame, tags: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, re
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, doc_id, tf), doc_stats (doc_id, dl), term_stats (term, df, idf), totals (n, avgdl) of one row."""
+    """postings (term, doc_id, dl, tf), doc_stats (doc_id, dl), term_stats (term, df, idf), totals (n, avgdl) of one row."""
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -50,8 +50,11 @@ class TextIndex:
 def build_index(docs: DataFrame) -> TextIndex:
     """Okapi statistics of (doc_id, text); a negative idf becomes a quarter of the mean idf of all terms."""
     toks = docs.select("doc_id", tokens("text").alias("toks"))
-    doc_stats = toks.select("doc_id", F.size("toks").alias("dl"))
-    postings = toks.select("doc_id", F.explode("toks").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    toks = toks.select("doc_id", F.size("toks").alias("dl"), "toks")
+    doc_stats = toks.select("doc_id", "dl")
+    # postings carry the length of their document, so that scoring needs no further join
+    postings = toks.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = written(postings, "postings")
     totals = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n")))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -92,8 +95,8 @@ def inputs_fingerprint(*tables: DataFrame) -> str:
 def bm25_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a token; a token given twice counts twice."""
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = asked.join(index.term_stats.select("term", "idf"), "term")
-    hits = index.postings.join(weighted, "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.totals.select("avgdl")))
+    weighted = bounded_broadcast(asked.join(index.term_stats.select("term", "idf"), "term"))
+    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.totals.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 

@@ -30,8 +30,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> S.TextIndex:
-    i = S.build_index(corpus(spark, d))
-    return S.TextIndex(written(i.postings, "postings"), i.doc_stats, i.term_stats, i.totals)
+    return S.build_index(written(corpus(spark, d), "corpus"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
