@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, tokens
-from ..runtime import bounded_broadcast, written
+from ..runtime import bounded_broadcast, spread, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 INDEX_VERSION = 2
@@ -49,7 +49,7 @@ class TextIndex:
 
 def build_index(docs: DataFrame) -> TextIndex:
     """Okapi statistics of (doc_id, text); a negative idf becomes a quarter of the mean idf of all terms."""
-    toks = docs.select("doc_id", tokens("text").alias("toks"))
+    toks = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("toks"))
     toks = toks.select("doc_id", F.size("toks").alias("dl"), "toks")
     doc_stats = toks.select("doc_id", "dl")
     # postings carry the length of their document, so that scoring needs no further join

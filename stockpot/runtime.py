@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its count is at most this and its rows are of a few fixed-width columns.
@@ -88,10 +88,15 @@ def skew_left_join(left: DataFrame, right: DataFrame, key: str, share: float = 0
     return cold.unionByName(marked.where("__hot").drop("__hot").join(F.broadcast(warm), key, "left"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files over at least as many partitions as there are cores, for work that is heavy for its bytes.
+
+    Tables of many files have more and are left as they are; only small ones are dealt out anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def hash64(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
