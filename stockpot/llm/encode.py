@@ -20,9 +20,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: Place of the vocabulary on every machine; a parameter of all operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern published with this vocabulary (fixed value).
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 )
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -204,8 +206,5 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
                 yield pa.RecordBatch.from_arrays([b.column("k").slice(at, len(texts)), pa.array(np.diff(off))], ["k", "n_tokens"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
-
+    return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
 
-def utf8_bytes(c: Column) -> Column:
-    return F.coalesce(F.octet_length(c), F.lit(0))

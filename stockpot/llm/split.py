@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .encode import NUMBER, LETTER, OTHER, SPACE, VOCABULARY, batches_of_texts, char_classes, code_points, encoder
 
 #: Characters that end a sentence (fixed values).
@@ -210,4 +211,4 @@ def split_long(docs: DataFrame, limit: int, overlap: int, key: str = "doc_id", t
 
     # a token has at least one byte: shorter texts can't exceed the limit and needn't be looked at
     long = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") > limit)
-    return long.mapInArrow(run, PIECES.format(kind=kind)).withColumnRenamed("k", key)
+    return spread(long).mapInArrow(run, PIECES.format(kind=kind)).withColumnRenamed("k", key)
