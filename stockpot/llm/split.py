@@ -80,8 +80,8 @@ class Cutter:
         self.enc, self.limit, self.overlap = encoder(path), limit, overlap
         self.size = [len(self.enc.bpe.decode_single_token_bytes(t)) for t in range(self.enc.bpe.max_token_value + 1)]
 
-    def _units(self, text: str) -> tuple[list[int], list[int], list[float]]:
-        """(ends, tokens, worth of a cut there) of parts of at most limit - overlap tokens."""
+    def _units(self, text: str) -> tuple[list[int], list[int], list[float], bool]:
+        """(ends, tokens, worth of a cut there, whether the tokens add up) of parts of at most limit - overlap tokens."""
         cp = code_points(text)
         cls = char_classes(cp)
         bounds, para = sentence_bounds(cp, cls)
@@ -91,20 +91,21 @@ class Cutter:
         lens = [len(p) // 4 for p in self.enc.packed([text[a:b] for a, b in zip([0, *ends[:-1]], ends)])]
         most = self.limit - self.overlap
         if max(lens) <= most:
-            return ends, lens, worth.tolist()
+            return ends, lens, worth.tolist(), True
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        inner, at = _any_bounds(cp, cls), 0
+        inner, at, sums = _any_bounds(cp, cls), 0, True
         for b, n, w in zip(ends, lens, worth.tolist()):
             cuts = [b] if n <= most else [*inner[(inner > at) & (inner < b)].tolist(), b]
             for c in cuts:
                 m = n if len(cuts) == 1 and n <= most else len(self.enc.packed([text[at:c]])[0]) // 4
+                sums = sums and m <= most
                 for d in [c - at] if m <= most else self._forced(text[at:c], most):
                     part = text[out[0][-1] if out[0] else 0 : at + d]
                     out[0].append(at + d)
                     out[1].append(m if m <= most else len(self.enc.ids(part)))
                     out[2].append(w if at + d == b else 0.0)
                 at = c
-        return out
+        return *out, sums
 
     def _forced(self, text: str, most: int) -> list[int]:
         """Ends, in characters, of parts of a text without places to cut, each of at most ``most`` tokens."""
@@ -130,32 +131,35 @@ class Cutter:
             ends.append(at)
         return ends
 
-    def _tail(self, text: str, start: int, stop: int) -> int:
-        """Where the last ``overlap`` tokens of text[start:stop] begin, moved on to the start of a character."""
+    def _tail(self, text: str, start: int, stop: int) -> tuple[int, int]:
+        """(where the last ``overlap`` tokens of text[start:stop] begin, moved on to a character; their number)."""
         if not self.overlap:
-            return stop
-        # a token holds at least a byte and a character at most four: so many characters are enough to look at
-        window = text[max(start, stop - 16 * self.overlap) : stop]
-        ids = self.enc.ids(window)
+            return stop, 0
+        width = 2 * self.overlap
+        while True:
+            window = text[max(start, stop - width) : stop]
+            ids = self.enc.ids(window)
+            if len(ids) > self.overlap + 8 or stop - width <= start:
+                break
+            width *= 2
         if len(ids) <= self.overlap:
-            return stop - len(window)
+            return stop - len(window), len(ids)
         raw = window.encode("utf-8", "surrogatepass")
         at = len(raw) - sum(self.size[t] for t in ids[-self.overlap :])
         while at < len(raw) and raw[at] & 0xC0 == 0x80:
             at += 1
         tail = raw[at:].decode("utf-8", "surrogatepass")
-        while len(self.enc.ids(tail)) > self.overlap:
+        while (n := len(self.enc.ids(tail))) > self.overlap:
             tail = tail[1:]
-        return stop - len(tail)
+        return stop - len(tail), n
 
     def pieces(self, text: str) -> list[tuple[int, int, int, int]]:
         """(begin with overlap, end, begin without, tokens) of each piece, in characters; [] if the text is within the limit."""
-        ends, lens, worth = self._units(text)
-        if len(ends) == 1 or sum(lens) <= self.limit and len(self.enc.ids(text)) <= self.limit:
+        ends, lens, worth, sums = self._units(text)
+        if len(ends) == 1 or sum(lens) <= self.limit and (sums or len(self.enc.ids(text)) <= self.limit):
             return []
-        out, i, body, begin = [], 0, 0, 0
+        out, i, body, begin, head = [], 0, 0, 0, 0
         while i < len(ends):
-            head = len(self.enc.ids(text[begin:body])) if begin < body else 0
             room, j, used, best, best_at = self.limit - head, i, 0, -1.0, i
             while j < len(ends) and used + lens[j] <= room:
                 used += lens[j]
@@ -168,7 +172,8 @@ class Cutter:
             elif best < 0:
                 best_at = max(i, j - 1)
             while True:
-                n = len(self.enc.ids(text[begin : ends[best_at]]))
+                # units end where tokens do, so that their numbers add up; only forced cuts need a count of the whole
+                n = head + sum(lens[i : best_at + 1]) if sums else len(self.enc.ids(text[begin : ends[best_at]]))
                 if n <= self.limit or best_at == i:
                     break
                 best_at -= 1
@@ -177,7 +182,7 @@ class Cutter:
                 n = len(self.enc.ids(text[begin : ends[best_at]]))
             out.append((begin, ends[best_at], body, n))
             body = ends[best_at]
-            begin = self._tail(text, out[-1][2], body)
+            begin, head = self._tail(text, out[-1][2], body)
             i = best_at + 1
         return out
 
