@@ -112,8 +112,11 @@ class Grammar:
     def measure(self, label: str) -> tuple[str, int]:
         return self.units[self._name(label)]
 
-    def terms(self, text: str) -> list[tuple[str, Fraction]]:
-        """(base unit, thousandths) of each quantity in ``text``."""
+    def code(self, label: str) -> str:
+        return self.codes[self._name(label)]
+
+    def terms(self, text: str) -> list[tuple[str, Fraction, str]]:
+        """(base unit, thousandths, unit code) of each quantity in ``text``."""
         out = []
         for m in self.term.finditer(text):
             if m["n"]:
@@ -127,20 +130,25 @@ class Grammar:
                 half = Fraction(1, 2) if m["rh"] else 0
                 value = None if a is None or b is None else (a * first + (b + half) * factor) / 2
             if value is not None:
-                out.append((base, value))
+                out.append((base, value, self.code(m["v"] or m["u"])))
         return out
 
     def read(self, amount: str | None) -> tuple[str, int] | None:
         """(base unit, thousandths rounded half up) that ``amount`` states, or None."""
+        got = self.read_coded(amount)
+        return got and got[:2]
+
+    def read_coded(self, amount: str | None) -> tuple[str, int, str] | None:
+        """As :meth:`read`, with the code of the unit that is stated first."""
         text = plain(amount or "")
         packed = self.package.search(text)
         if packed:
             found = self.terms(packed["q"])
         else:
             found = self.terms(re.sub(r"[(\[【][^)\]】]*[)\]】]?", " ", text))
-        if not found or len({base for base, _ in found}) > 1:
+        if not found or len({base for base, _, _ in found}) > 1:
             return None
-        return found[0][0], _half_up(sum(v for _, v in found))
+        return found[0][0], _half_up(sum(v for _, v, _ in found)), found[0][2]
 
     def bare_number(self, amount: str | None) -> Fraction | None:
         m = self.bare.match(plain(amount)) if amount else None
@@ -149,10 +157,10 @@ class Grammar:
         a, b = number(m["a"]), number(m["b"]) if m["b"] else None
         return a if b is None or a is None else (a + b) / 2
 
-    def unit_of_name(self, name: str | None) -> tuple[str, int] | None:
-        """The unit that stands at the end of a name, in brackets or after a stroke."""
+    def unit_of_name(self, name: str | None) -> tuple[str, int, str] | None:
+        """(base unit, thousandths in one, unit code) of the unit at the end of a name, in brackets or after a stroke."""
         m = self.in_name.search(plain(name)) if name else None
-        return self.measure(m["u"]) if m else None
+        return (*self.measure(m["u"]), self.code(m["u"])) if m else None
 
 
 def _half_up(x: Fraction) -> int:
@@ -167,29 +175,32 @@ def measures(spark: SparkSession, df: DataFrame) -> list[tuple[str, str, int, li
     return [(r[0], r[1], r[2], list(r[3] or [])) for r in rows]
 
 
-def read_quantities(df: DataFrame, amount: str, table: list, name: str | None = None) -> DataFrame:
+def read_quantities(df: DataFrame, amount: str, table: list, name: str | None = None, coded: bool = False) -> DataFrame:
     """``df`` with base_unit, quantity_milli, bare: what ``amount`` states in grams or millilitres.
 
+    With ``coded``, also unit_code: the unit that is stated first.
+
     Null, blank and vague amounts, counts of pieces and quantities of both mass and volume give nulls. With ``name``, a
     bare number takes the unit that stands with the name; without such a unit it is given in ``bare`` only. Every
     batch reads each different amount once. Columns of ``df`` with the names of the results are replaced.
     """
-    df = df.drop("base_unit", "quantity_milli", "bare")
-    out = "base_unit string, quantity_milli long, bare double"
+    results = ["base_unit", "quantity_milli", "bare"] + (["unit_code"] if coded else [])
+    df = df.drop(*results)
+    out = "base_unit string, quantity_milli long, bare double" + (", unit_code string" if coded else "")
 
     @F.pandas_udf(out)
     def read(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         grammar, known = Grammar(table), {}
 
         def one(a: str | None, n: str | None) -> tuple:
-            got = grammar.read(a) if a else None
+            got = grammar.read_coded(a) if a else None
             if got:
-                return got[0], got[1], None
+                return got[0], got[1], None, got[2]
             value = grammar.bare_number(a)
             if value is None:
-                return None, None, None
+                return None, None, None, None
             unit = grammar.unit_of_name(n)
-            return (unit[0], _half_up(value * unit[1]), float(value)) if unit else (None, None, float(value))
+            return (unit[0], _half_up(value * unit[1]), float(value), unit[2]) if unit else (None, None, float(value), None)
 
         for amounts, names in it:
             rows = []
@@ -201,7 +212,7 @@ def read_quantities(df: DataFrame, amount: str, table: list, name: str | None =
                         known.clear()
                     known[key] = one(a, n)
                 rows.append(known[key])
-            yield pd.DataFrame(rows, columns=["base_unit", "quantity_milli", "bare"]).astype({"quantity_milli": "Int64"})
+            yield pd.DataFrame(rows, columns=["base_unit", "quantity_milli", "bare", "unit_code"])[results].astype({"quantity_milli": "Int64"})
 
     label = F.col(name) if name else F.lit(None).cast("string")
-    return df.withColumn("__q", read(F.col(amount), label)).select(*df.columns, "__q.base_unit", "__q.quantity_milli", "__q.bare")
+    return df.withColumn("__q", read(F.col(amount), label)).select(*df.columns, *(f"__q.{c}" for c in results))

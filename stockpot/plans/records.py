@@ -89,20 +89,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare numbers of the crawled items with the unit that is likeliest for them, a device being an ingredient's name.
 
-    Readings that state a quantity enter as grams or millilitres; a bare number may be those, or kilograms or litres.
+    Every unit of the table of measures is a state. A reading that states a quantity enters with its own unit, in that unit.
     """
     units = measures(spark, table(spark, sf_dir, "measure_units"))
     rows = table(spark, sf_dir, "crawled_ingredients").select("item_id", "crawled_at", "name", "amount").where("name <> '' and amount <> ''").distinct()
-    read = read_quantities(rows, "amount", units, "name").where("base_unit is not null or bare is not null")
-    value = F.coalesce(F.col("quantity_milli") / 1000, F.col("bare"))
+    read = read_quantities(rows, "amount", units, "name", coded=True).where("base_unit is not null or bare is not null")
+    milli = F.create_map(*[F.lit(x) for code, _, factor, _ in units for x in (code, float(factor))])
     readings = read.select(
         F.lower("name").alias("device"),
         (F.year("crawled_at") * 12 + F.month("crawled_at")).alias("period"),
         F.struct("crawled_at", "item_id").alias("seq"),
-        value.alias("value"),
-        F.when(F.col("base_unit").isNotNull(), "g").alias("unit"),
+        F.when(F.col("unit_code").isNull(), F.col("bare")).otherwise(F.col("quantity_milli") / milli[F.col("unit_code")]).alias("value"),
+        F.col("unit_code").alias("unit"),
     )
-    out = decode_units(readings, {"g": 1.0, "kg": 1000.0, "dag": 10.0})
+    out = decode_units(readings, {code: factor / 1000 for code, _, factor, _ in units}, bases={code: base for code, base, _, _ in units})
     return out.where("unit is null and decoded is not null").select(F.col("seq.item_id").alias("item_id"), "device", "value", "decoded")
 
 

@@ -66,6 +66,39 @@ def test_decode_units(spark):
     assert out[None, 1] is None and out["e", 1] is None
 
 
+def test_units_over_blocks_and_periods(spark):
+    """Blocks and periods give the path of the whole chain, with the states of both bases apart."""
+    import numpy as np
+
+    rng, units, bases = np.random.default_rng(8), {"g": 1.0, "jin": 500.0, "ml": 1.0, "cup": 240.0}, {"g": "m", "jin": "m", "ml": "v", "cup": "v"}
+    names, factors, group = list(units), np.array(list(units.values())), np.array([0, 0, 1, 1])
+    fixed = [("s", 1, i, 300.0, "g") for i in range(40)] + [("s", 1, 50 + i, 2.0, "cup") for i in range(30)]
+    for trial in range(4):
+        # the level of each base is that of device s; the periods of x but the outer ones have no stated unit
+        values = 10 ** rng.uniform(-0.5, 2.5, 43)
+        chain = [("x", 2 + i // 9, i, float(v), None) for i, v in enumerate(values)]
+        if trial % 2:
+            chain = [("x", 0, -1, 0.6, "jin"), *chain, ("x", 9, 90, 300.0, "g")]
+        rows = spark.createDataFrame(fixed + chain, "device string, period int, seq int, value double, unit string")
+        got = {r.seq: r.decoded for r in decode_units(rows, units, block=4, bases=bases).where("device = 'x'").collect()}
+        vol, share = np.log10(480), np.array([3 / 4, 1 / 4] if trial % 2 else [1 / 2, 1 / 2])
+        level = np.where(group == 0, np.log10(300), vol)
+        first, last = (1, 0) if trial % 2 else (-1, -1)
+        want = viterbi(values, level, factors, first, last, 0.9, 0.5, share[group] / 2)
+        assert [got[i] for i in range(43)] == [names[j] for j in want]
+
+
+def test_p5_units_keeps_the_stated_unit(spark, tmp_path):
+    from stockpot.plans.records import p5_units
+
+    rows = [("rice", a, d) for d, a in enumerate(["2斤", "2", "3斤", "300g", "280", "310g"])] + [("milk", a, d) for d, a in enumerate(["2 cups", "1", "2杯", "30ml", "28", "31ml"])]
+    items = [(i, datetime(2024, 1 + 2 * d, 1), n, a) for i, (n, a, d) in enumerate(rows)]
+    spark.createDataFrame(items, "item_id long, crawled_at timestamp_ntz, name string, amount string").write.parquet(f"{tmp_path}/crawled_ingredients.parquet")
+    spark.createDataFrame(UNITS, "unit_code string, base_unit string, factor_milli long, labels array<string>").write.parquet(f"{tmp_path}/measure_units.parquet")
+    got = {(r.device, r.value): r.decoded for r in p5_units(spark, str(tmp_path)).collect()}
+    assert got == {("rice", 2.0): "jin", ("rice", 280.0): "g", ("milk", 1.0): "cup", ("milk", 28.0): "ml"}
+
+
 LISTS = (Child("ingredients", "name", (Child("items", "name"),)), Child("steps", "instruction", (Child("substeps", "instruction"),)))
 
 
