@@ -19,7 +19,7 @@ def recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_pairs(near_copy_groups(recipe_texts(spark, sf_dir), 0.6, 3)).distinct()
+    return group_pairs(near_copy_groups(recipe_texts(spark, sf_dir), 0.6, 3, count_links=False)).distinct()
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
