@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
 from .plain import changed_forms, word_scripts
@@ -14,8 +15,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed-script and whole-script confusable words of the recipe titles."""
-    return word_scripts(table(spark, sf_dir, "recipes"), "id", "title")
+    """The mixed-script and whole-script confusable words of the recipe titles and the crawled names."""
+
+    def words(source: str, key: str, text: str) -> DataFrame:
+        out = word_scripts(table(spark, sf_dir, source), key, text)
+        return out.select(F.lit(source).alias("source_table"), F.col(key).alias("row_id"), "word", "scripts", "resolved", "kind")
+
+    return words("recipes", "id", "title").unionByName(words("crawled_ingredients", "item_id", "name")).distinct()
 
 
 QUERIES = {"p2_found": p2_found, "p2_words": p2_words}

@@ -41,3 +41,13 @@ def test_scripts(spark):
     df = spark.createDataFrame([(1, "sаlt Борщ сосо жa"), (2, None)], "id long, t string")
     got = {r.word: (r.kind, r.resolved) for r in word_scripts(df, "id", "t").collect()}
     assert got == {"sаlt": ("mixed", ["Latin"]), "сосо": ("whole", ["Latin", "Cyrillic"]), "жa": ("mixed", ["Cyrillic"])}
+
+
+def test_words_of_both_tables(spark, tmp_path):
+    from stockpot.llm.q_text import p2_words
+
+    spark.createDataFrame([(1, "sаlt"), (2, "salt"), (3, None)], "id long, title string").write.parquet(f"{tmp_path}/recipes.parquet")
+    names = [(1, "Борщ"), (7, "сосо"), (7, "сосо"), (8, "οil"), (9, None)]
+    spark.createDataFrame(names, "item_id long, name string").write.parquet(f"{tmp_path}/crawled_ingredients.parquet")
+    got = sorted((r.source_table, r.row_id, r.word, r.kind) for r in p2_words(spark, str(tmp_path)).collect())
+    assert got == [("crawled_ingredients", 7, "сосо", "whole"), ("crawled_ingredients", 8, "οil", "mixed"), ("recipes", 1, "sаlt", "mixed")]
