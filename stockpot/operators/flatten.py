@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from ..runtime import new_path
 
+#: The tag of rows that report a body nested too deeply to be read.
+TOO_DEEP = "_too_deep"
 EMITTED = "doc_key long, pk string, parent string, parent_pos long, pos long, text string, payload string, tag string"
 
 
@@ -35,7 +37,7 @@ def _object(body: str | None) -> dict | None:
         return None
     try:
         value = json.loads(body)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
@@ -64,6 +66,7 @@ def emit_tagged(records: DataFrame, key: str, body: str, root: str, lists: tuple
 
     The object may itself be given as JSON text. Bodies that are null, no complete JSON object, or without the object
     give nothing; null entries give no row but keep their place; a single value in place of a list is at place 1.
+    A body nested too deeply for the reader gives one row of the tag ``TOO_DEEP``, so that it is not lost unseen.
     ``text`` is the entry where it is plain text, else its label where that is text. Further columns are ignored.
     """
 
@@ -73,15 +76,16 @@ def emit_tagged(records: DataFrame, key: str, body: str, root: str, lists: tuple
         for b in batches:
             keys, rows, size = b.column("k").to_pylist(), [], 0
             for k, text in zip(keys, b.column("b")):
-                whole = _object(text.as_py())
-                inner = whole.get(root) if whole else None
-                inner = _object(inner) if isinstance(inner, str) else inner
-                if not isinstance(inner, dict):
-                    continue
                 got: list = []
-                for c in lists:
-                    if inner.get(c.name) is not None:
-                        _visit(inner[c.name], c, c.name, "", 0, got)
+                try:
+                    whole = _object(text.as_py())
+                    inner = whole.get(root) if whole else None
+                    inner = _object(inner) if isinstance(inner, str) else inner
+                    for c in lists if isinstance(inner, dict) else ():
+                        if inner.get(c.name) is not None:
+                            _visit(inner[c.name], c, c.name, "", 0, got)
+                except RecursionError:
+                    got = [("", "", 0, 0, None, None, TOO_DEEP)]
                 rows += [(k, *r) for r in got]
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, cosine_distance
-from ..runtime import bounded_broadcast
-from .search import top
+from ..functions.text import CONTROLS, clean_text, csv_values, strip
+from ..runtime import bounded_broadcast, written
+from .search import nearest_entry
 
 SEASONING = "调料"
 
@@ -76,6 +76,23 @@ def rank_candidates(candidates: DataFrame, missing: DataFrame, recipes: DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of one and of two characters in a text."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.concat(F.transform(at, lambda i: F.substring(text, i, F.lit(1))), F.transform(at, lambda i: F.substring(text, i, F.lit(2)))))
+
+
+def containing(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Rows of ``short`` (part and others) with those of ``long`` (whole and others) whose text holds theirs.
+
+    They meet by the first two characters of the part among all runs of two in the whole, so that no table is compared
+    with the whole of the other. Empty and null texts meet nothing.
+    """
+    keyed = long.where("whole <> ''").withColumn("__gram", F.explode(_grams(F.col("whole"))))
+    asked = short.where("part <> ''").withColumn("__gram", F.left("part", F.lit(2)))
+    return asked.join(keyed, "__gram").where(F.contains("whole", "part")).drop("__gram")
+
+
 def link_items(items: DataFrame, dictionary: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, least: float = 0.85) -> DataFrame:
     """(item, id, tier) of distinct ``items`` (item): exact name, alias, containment, vector; tier null if unknown.
 
@@ -84,25 +101,23 @@ def link_items(items: DataFrame, dictionary: DataFrame, vectors: tuple[DataFrame
     asked = items.select("item", clean_text("item").alias("term")).where("term <> ''").distinct()
     terms = bounded_broadcast(dictionary_terms(dictionary))
     direct = asked.join(terms, "term").groupBy("item").agg(F.min_by(F.struct("id", "tier"), F.struct("tier", "id")).alias("hit"))
-    loose = asked.join(direct, "item", "left_anti")
-    names = dictionary.select("id", F.col("name").alias("raw_name"), clean_text("name").alias("name")).where("name <> ''")
-    # names shorter or longer than the text meet it through the runs of characters they have in common
-    held = loose.join(bounded_broadcast(names, 10_000), F.contains("term", "name") | F.contains("name", "term"))
-    best = held.groupBy("item").agg(F.max_by("id", F.struct(F.length("raw_name"), -F.col("id"))).alias("id"))
+    loose = written(asked.join(direct, "item", "left_anti"), "loose-items")
+    names = bounded_broadcast(dictionary.select("id", F.col("name").alias("raw_name"), clean_text("name").alias("name")).where("name <> ''"), 10_000)
+    within = containing(names.withColumnRenamed("name", "part"), loose.withColumnRenamed("term", "whole")).select("item", "id", "raw_name")
+    around = containing(loose.withColumnRenamed("term", "part"), names.withColumnRenamed("name", "whole")).select("item", "id", "raw_name")
+    best = within.unionByName(around).groupBy("item").agg(F.max_by("id", F.struct(F.length("raw_name"), -F.col("id"))).alias("id"))
     linked = direct.select("item", "hit.id", "hit.tier").unionByName(best.withColumn("tier", F.lit(3)))
     if vectors is not None:
         left, right = vectors
-        open_ = left.join(linked, "item", "left_anti").select("item", F.col("vec").alias("a"))
-        near = open_.join(bounded_broadcast(right.select("id", F.col("vec").alias("b")), 10_000)).withColumn("d", cosine_distance(F.col("a"), F.col("b")))
-        hits = near.where(1 - F.col("d") >= least).groupBy("item").agg(F.min_by("id", F.struct(F.round("d", 9), "id")).alias("id"))
-        linked = linked.unionByName(hits.withColumn("tier", F.lit(4)))
+        near = nearest_entry(left.join(linked, "item", "left_anti"), right)
+        linked = linked.unionByName(near.where(1 - F.col("distance") >= least).select("item", "id", F.lit(4).alias("tier")))
     return items.select("item").distinct().join(linked, "item", "left")
 
 
 def autocomplete(prefixes: DataFrame, dictionary: DataFrame, limit: int) -> DataFrame:
     """(q, id, name, pos): entries whose name or an alias contains ``q``, in order of name and id."""
-    hit = F.contains("name", "q") | F.coalesce(F.exists("aliases", lambda a: F.coalesce(F.contains(a, F.col("q")), F.lit(False))), F.lit(False))
-    found = prefixes.select("q").where("q <> ''").distinct().join(bounded_broadcast(dictionary, 10_000), hit)
+    texts = dictionary.select("id", "name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("whole"))
+    found = containing(prefixes.select("q", F.col("q").alias("part")).distinct(), bounded_broadcast(texts, 50_000)).select("q", "id", "name").distinct()
     order = Window.partitionBy("q").orderBy("name", "id")
     return found.select("q", "id", "name", F.row_number().over(order).alias("pos")).where(F.col("pos") <= limit)
 
@@ -117,15 +132,70 @@ def autocomplete_topup(found: DataFrame, near: DataFrame, limit: int) -> DataFra
 
 def build_query(parsed: DataFrame, most: int = 30, longest: int = 50) -> DataFrame:
     """(query_id, query): the first ``most`` items (pos, name) of each, blank and overlong ones left out, each name once."""
-    items = parsed.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "name"))), 1, most).alias("xs"))
+    first = Window.partitionBy("query_id").orderBy("pos", "name")
+    kept = parsed.select("query_id", "pos", "name", F.row_number().over(first).alias("__n")).where(F.col("__n") <= most)
+    items = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("__n", "name"))).alias("xs"))
     names = F.filter(F.transform("xs", lambda x: clean_text(x["name"])), lambda n: (n != "") & (F.length(n) <= longest))
     return items.select("query_id", F.array_join(F.array_distinct(names), " ").alias("query"))
 
 
-def valid_choices(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Generated ids (query_id, recipe_id, pos) that are candidates (query_id, recipe_id, rank), each once, in their order."""
-    first = chosen.groupBy("query_id", "recipe_id").agg(F.min("pos").alias("pos"))
-    return candidates.join(first, ["query_id", "recipe_id"]).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "recipe_id")))
+def request_faults(requests: DataFrame) -> DataFrame:
+    """(request_id, valid, reason) of search requests (request_id, q, ingredients, exclude_tags, limit_n); the first fault.
+
+    The text has 1 to 200 characters and the limit is 1 to 50; at most 30 ingredients and 20 tags, each of at most 50
+    characters; no control characters. A null list is empty; a null text or limit is a fault.
+    """
+    q = strip(F.coalesce("q", F.lit("")))
+    control = lambda c: c.rlike(CONTROLS)
+    reason = F.when(q == "", "empty text").when(F.length(q) > 200, "long text").when(control(q), "control character")
+    reason = reason.when(~F.coalesce(F.col("limit_n").between(1, 50), F.lit(False)), "limit")
+    for name, most in (("ingredients", 30), ("exclude_tags", 20)):
+        values = csv_values(name)
+        reason = reason.when(F.size(values) > most, f"many {name}").when(F.exists(values, lambda v: F.length(v) > 50), f"long {name}").when(F.exists(values, control), f"control character in {name}")
+    return requests.select("request_id", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def valid_choices(chosen: DataFrame, candidates: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(query_id, recipe_id, place, title, difficulty, cook_time_minutes, n_steps, steps_from, degraded): generated choices
+    (query_id, recipe_id, pos, steps) that are candidates (query_id, recipe_id, rank), each once, in the candidates' order.
+
+    The facts are those of ``recipes``; of a recipe chosen twice the first counts; steps that are null or empty are
+    filled from the recipe (steps_from). A query none of whose choices is valid gets all its candidates (degraded).
+    """
+    first = chosen.groupBy("query_id", "recipe_id").agg(F.min_by("steps", "pos").alias("own"))
+    joined = candidates.join(first.withColumn("__chosen", F.lit(True)), ["query_id", "recipe_id"], "left")
+    some = first.join(candidates, ["query_id", "recipe_id"], "left_semi").select("query_id").distinct().withColumn("__some", F.lit(True))
+    kept = joined.join(some, "query_id", "left").where(F.col("__chosen") | F.col("__some").isNull())
+    facts = recipes.select(F.col("id").alias("recipe_id"), "title", "difficulty", "cook_time_minutes", F.col("steps.instruction").alias("stored"))
+    own = F.size(F.coalesce("own", F.array().cast("array<string>"))) > 0
+    full = kept.join(facts, "recipe_id").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "recipe_id")))
+    return full.select(
+        "query_id", "recipe_id", "place", "title", "difficulty", "cook_time_minutes",
+        F.size(F.when(own, F.col("own")).otherwise(F.coalesce("stored", F.array().cast("array<string>")))).alias("n_steps"),
+        F.when(own, "choice").otherwise("recipe").alias("steps_from"), F.col("__some").isNull().alias("degraded"),
+    )
+
+
+def recipe_facts(wanted: DataFrame, recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(query_id, recipe_id, title, difficulty, cook_time_minutes, n_steps, seasonings) of ``wanted`` (query_id, recipe_id),
+    from storage; ids that have vanished give no row. Seasonings come with their amounts, in order of id."""
+    keys = wanted.select("query_id", "recipe_id").distinct()
+    rows = recipes.select(F.col("id").alias("recipe_id"), "title", "difficulty", "cook_time_minutes", F.coalesce(F.size("steps"), F.lit(0)).alias("n_steps"))
+    named = bounded_broadcast(dictionary.where(F.col("category") == SEASONING).select(F.col("id").alias("ingredient_id"), "name"), 10_000)
+    used = bridge.join(keys.select("recipe_id").distinct(), "recipe_id", "left_semi").groupBy("recipe_id", "ingredient_id").agg(F.min("amount").alias("amount")).join(named, "ingredient_id")
+    line = F.concat_ws("：", "name", F.nullif(F.col("amount"), F.lit("")))
+    lists = used.groupBy("recipe_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ingredient_id", line.alias("t")))), lambda x: x["t"]), "；").alias("seasonings"))
+    return keys.join(rows, "recipe_id").join(lists, "recipe_id", "left").select("query_id", "recipe_id", "title", "difficulty", "cook_time_minutes", "n_steps", F.coalesce("seasonings", F.lit("")).alias("seasonings"))
+
+
+#: Kinds of tags in the order they are shown (fixed values).
+TAG_KINDS = ("allergen", "avoid", "cuisine", "taste")
+
+
+def grouped_tags(tags: DataFrame) -> DataFrame:
+    """(kind, place, names): the tags (name, kind) of each kind of ``TAG_KINDS``; kinds without tags and other kinds give no row."""
+    place = F.array_position(F.array(*[F.lit(k) for k in TAG_KINDS]), F.col("kind")).cast("int")
+    return tags.where(F.col("kind").isin(*TAG_KINDS)).groupBy("kind", place.alias("place")).agg(F.array_join(F.sort_array(F.collect_list("name")), "、").alias("names"))
 
 
 def detail_lists(bridge: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -134,7 +204,3 @@ def detail_lists(bridge: DataFrame, dictionary: DataFrame) -> DataFrame:
     once = bridge.select("recipe_id", "ingredient_id").distinct().join(named, "ingredient_id")
     pick = lambda s: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") == s, F.struct("ingredient_id", "name")))), lambda x: x["name"]), "、")
     return once.groupBy("recipe_id").agg(pick(False).alias("ingredients"), pick(True).alias("seasonings"))
-
-
-def nearest_entries(hits: DataFrame, k: int) -> DataFrame:
-    return top(hits, k, "distance", False, "id")

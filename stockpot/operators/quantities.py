@@ -190,12 +190,9 @@ def read_quantities(df: DataFrame, amount: str, table: list, name: str | None =
 
     @F.pandas_udf(out)
     def read(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        grammar, known = Grammar(table), {}
+        grammar, stated, known = Grammar(table), {}, {}
 
-        def one(a: str | None, n: str | None) -> tuple:
-            got = grammar.read_coded(a) if a else None
-            if got:
-                return got[0], got[1], None, got[2]
+        def by_name(a: str | None, n: str | None) -> tuple:
             value = grammar.bare_number(a)
             if value is None:
                 return None, None, None, None
@@ -205,13 +202,18 @@ def read_quantities(df: DataFrame, amount: str, table: list, name: str | None =
         for amounts, names in it:
             rows = []
             for a, n in zip(amounts, names):
-                # only a bare number looks at the name
-                key = (a, n) if n is not None and a is not None and len(a) < 24 and not grammar.unit.search(a.lower()) else a
-                if key not in known:
+                # an amount that states a quantity by itself needs no name
+                if a not in stated:
+                    if len(stated) > 200_000:
+                        stated.clear()
+                    stated[a] = grammar.read_coded(a) if a else None
+                key = (a, n)
+                if stated[a] is None and key not in known:
                     if len(known) > 200_000:
                         known.clear()
-                    known[key] = one(a, n)
-                rows.append(known[key])
+                    known[key] = by_name(a, n)
+                got = stated[a]
+                rows.append((got[0], got[1], None, got[2]) if got else known[key])
             yield pd.DataFrame(rows, columns=["base_unit", "quantity_milli", "bare", "unit_code"])[results].astype({"quantity_milli": "Int64"})
 
     label = F.col(name) if name else F.lit(None).cast("string")

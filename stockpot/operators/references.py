@@ -51,7 +51,8 @@ def orphan_cascade(references: list[Reference], max_rounds: int = 100) -> DataFr
     ``direct`` ones fail by themselves (see :func:`reference_faults`). References to a row that is itself an orphan
     (deleted or missing, not merely late) are ``inherited``: semi-joins go down the graph until a round finds no
     further row, so cycles end as well. A row of a table is reported as inherited only if no earlier round has it.
-    Null references are none; repeated rows count once. Each round is written to the shared folder.
+    Null references are none; repeated rows count once. Each round appends what it found to the shared folder. A graph
+    deeper than ``max_rounds`` fails the job rather than giving a part of the orphans.
     """
 
     def rows(r: Reference) -> DataFrame:
@@ -64,20 +65,22 @@ def orphan_cascade(references: list[Reference], max_rounds: int = 100) -> DataFr
         return out
 
     direct = [reference_faults(rows(r), r.states) for r in references if r.states is not None]
-    found = written(union(direct).distinct().select("*", F.lit("direct").alias("cause"), F.lit(0).alias("depth")), "orphans")
+    found = [written(union(direct).distinct().select("*", F.lit("direct").alias("cause"), F.lit(0).alias("depth")), "orphans")]
     children = {r.parent for r in references} & {r.child for r in references}
-    new, depth = found.where("reason <> 'late'"), 0
-    while children and depth < max_rounds:
+    new, depth = found[0].where("reason <> 'late'"), 0
+    while children:
         depth += 1
+        if depth > max_rounds:
+            raise RuntimeError(f"inherited orphans are still found after {max_rounds} rounds")
         nexts = []
         for r in (r for r in references if r.parent in children):
             gone = new.where(F.col("source_table") == r.parent).select(F.col("row_id").alias("ref_id")).distinct()
             nexts.append(rows(r).join(gone, "ref_id", "left_semi"))
-        known = found.where("reason <> 'late'").select("source_table", "row_id").distinct()
+        known = union(found).where("reason <> 'late'").select("source_table", "row_id").distinct()
         fresh = union(nexts).distinct().join(known, ["source_table", "row_id"], "left_anti")
         fresh = fresh.select("*", F.lit("inherited").alias("reason"), F.lit("inherited").alias("cause"), F.lit(depth).alias("depth"))
-        new = written(fresh.select(*found.columns), "orphans")
+        new = written(fresh.select(*found[0].columns), "orphans")
         if new.limit(1).count() == 0:
             break
-        found = written(found.unionByName(new), "orphans")
-    return found
+        found.append(new)
+    return union(found)

@@ -5,11 +5,16 @@ Everything is batched: queries carry a query_id, and one plan answers all of the
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +22,7 @@ from ..functions.text import clean_text, tokens
 from ..runtime import bounded_broadcast, spread, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 
 
 def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, recipe_tags: DataFrame, tags: DataFrame) -> DataFrame:
@@ -39,33 +44,57 @@ def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, re
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, doc_id, dl, tf), doc_stats (doc_id, dl), term_stats (term, df, idf), totals (n, avgdl) of one row."""
+    """forward (doc_id, dl, terms, tfs), term_stats (term, df, idf), totals (n, avgdl) of one row."""
 
-    postings: DataFrame
-    doc_stats: DataFrame
+    forward: DataFrame
     term_stats: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, dl, tf)"""
+        each = self.forward.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        return each.select("p.terms", "doc_id", "dl", "p.tfs").toDF("term", "doc_id", "dl", "tf")
 
-def build_index(docs: DataFrame) -> TextIndex:
-    """Okapi statistics of (doc_id, text); a negative idf becomes a quarter of the mean idf of all terms."""
-    toks = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("toks"))
-    toks = toks.select("doc_id", F.size("toks").alias("dl"), "toks")
-    doc_stats = toks.select("doc_id", "dl")
-    # postings carry the length of their document, so that scoring needs no further join
-    postings = toks.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    postings = written(postings, "postings")
-    totals = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n")))
+
+def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toks) -> (doc_id, dl, terms, tfs)"""
+    for b in batches:
+        counts = [Counter(t) for t in b.column("toks").to_pylist()]
+        off = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
+        terms, tfs = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())
+        dl = pa.array([sum(c.values()) for c in counts], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), dl, pa.ListArray.from_arrays(off, terms), pa.ListArray.from_arrays(off, tfs)], ["doc_id", "dl", "terms", "tfs"])
+
+
+def _statistics(forward: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term_stats, totals); a negative idf becomes a quarter of the mean idf of all terms."""
+    totals = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n")))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return TextIndex(postings, doc_stats, raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), totals)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), totals
+
+
+def build_index(docs: DataFrame) -> TextIndex:
+    """Okapi statistics of (doc_id, text). Texts are tokenised once, where they are read; only counts of terms are shuffled.
+
+    Null texts are documents without tokens.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    toks = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("toks"))
+    forward = written(toks.mapInArrow(_counted_terms, f"doc_id {kind}, dl int, terms array<string>, tfs array<int>"), "forward-index")
+    stats, totals = _statistics(forward)
+    return TextIndex(forward, written(stats, "term-stats"), written(totals, "totals"))
+
+
+_TABLES = ("forward", "term_stats", "totals")
 
 
 def save_index(index: TextIndex, path: str, fingerprint: str) -> None:
     """Write the tables and, last, the manifest that makes them count."""
-    for name in ("postings", "doc_stats", "term_stats", "totals"):
+    for name in _TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
     spark = index.totals.sparkSession
     row = json.dumps({"version": INDEX_VERSION, "fingerprint": fingerprint})
@@ -76,11 +105,11 @@ def load_index(spark: SparkSession, path: str, fingerprint: str | None = None) -
     """The stored index; None if there is none, or it is of another version or of other inputs."""
     try:
         row = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    except Exception:
+    except (AnalysisException, TypeError, ValueError):
         return None
     if row.get("version") != INDEX_VERSION or fingerprint not in (None, row.get("fingerprint")):
         return None
-    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "term_stats", "totals")))
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in _TABLES))
 
 
 def inputs_fingerprint(*tables: DataFrame) -> str:
@@ -92,61 +121,179 @@ def inputs_fingerprint(*tables: DataFrame) -> str:
     return "|".join(out)
 
 
-def bm25_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a token; a token given twice counts twice."""
+def refreshed_index(path: str, inputs: tuple[DataFrame, ...], docs: Callable[[], DataFrame]) -> TextIndex:
+    """The index stored at ``path`` if its inputs are unchanged, else a new one of ``docs()``, which takes its place.
+
+    A version lies in a folder named by the fingerprint of its inputs, so readers of the last one are not disturbed.
+    """
+    spark, mark = inputs[0].sparkSession, inputs_fingerprint(*inputs)
+    place = f"{path}/{hashlib.md5(mark.encode()).hexdigest()}"
+    found = load_index(spark, place, mark)
+    if found is None:
+        save_index(build_index(docs()), place, mark)
+        found = load_index(spark, place, mark)
+    assert found is not None
+    return found
+
+
+class _Best:
+    """The best ``k`` of each query over all batches of a task: highest key first, then the lesser id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.query, self.key, self.ident = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+        self.rest: dict[str, np.ndarray] = {}
+        self.edge = np.full(queries, np.iinfo(np.int64).min)
+
+    def add(self, query: np.ndarray, score: np.ndarray, ident: np.ndarray, **rest: np.ndarray) -> None:
+        key = np.floor(score * 1e9 + 0.5).astype(np.int64)
+        ok = key >= self.edge[query]
+        got = {"score": score[ok], **{n: v[ok] for n, v in rest.items()}}
+        query, key, ident = query[ok], key[ok], ident[ok]
+        if not len(query):
+            return
+        if len(self.query):
+            query, key, ident = np.concatenate([self.query, query]), np.concatenate([self.key, key]), np.concatenate([self.ident, ident])
+            got = {n: np.concatenate([self.rest[n], v]) for n, v in got.items()}
+        order = np.lexsort((ident, -key, query))
+        at = np.arange(len(order)) - np.searchsorted(query[order], query[order], "left")
+        order = order[at < self.k]
+        self.query, self.key, self.ident = query[order], key[order], ident[order]
+        self.rest = {n: v[order] for n, v in got.items()}
+        last = np.flatnonzero(at[at < self.k] == self.k - 1)
+        self.edge[self.query[last]] = self.key[last]
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[pa.Table]:
+    """The rows of ``queries`` (query_id first) in blocks of about ``most``, a query whole; each is sent to all tasks."""
+    count = queries.count()
+    blocks = -(-count // most)
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        lot = part.toArrow()
+        if len(lot):
+            yield lot
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def bm25_best(index: TextIndex, queries: DataFrame, k: int, most_terms: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, score): at least the best ``k`` documents of each query, those of each task; scores above 0.
+
+    The weighted terms of the queries go to the tasks in blocks of bounded size; a task adds up the scores of its
+    documents and gives its own best ``k`` only, so that what is shuffled is queries x k for each task. A token given
+    twice counts twice.
+    """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = bounded_broadcast(asked.join(index.term_stats.select("term", "idf"), "term"))
-    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.totals.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weights = written(asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")), "query-terms")
+    kinds = dict(index.forward.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+    avgdl = index.totals.first().avgdl or 1.0
+    spark, parts = index.forward.sparkSession, []
+    for block in _blocks(weights, most_terms):
+        ids, query = np.unique(np.array(block.column("query_id").to_pylist(), object), return_inverse=True)
+        terms, term = np.unique(np.array(block.column("term").to_pylist(), object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        sent = spark.sparkContext.broadcast((ids, terms, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]), query[order], block.column("w").to_numpy()[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms, start, query, weight = sent.value
+            known, best = pa.array(terms.tolist(), pa.string()), _Best(len(ids), k)
+            lot = max(1, min(1_000, 2_000_000 // len(ids)))
+            for whole in batches:
+                for b in (whole.slice(at, lot) for at in range(0, len(whole), lot)):
+                    words, off = b.column("terms").flatten(), b.column("terms").offsets.to_numpy()
+                    doc = np.repeat(np.arange(len(b)), np.diff(off))
+                    tf, dl = b.column("tfs").flatten().to_numpy().astype(float), b.column("dl").to_numpy()[doc]
+                    at = pa.compute.fill_null(pa.compute.index_in(words, known), -1).to_numpy()
+                    hit = at >= 0
+                    at, doc, tf, dl = at[hit], doc[hit], tf[hit], dl[hit]
+                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                    many = start[at + 1] - start[at]
+                    places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.empty(0, np.int64)
+                    score = np.bincount(query[places] * len(b) + np.repeat(doc, many), weights=weight[places] * np.repeat(part, many), minlength=1)
+                    cell = np.flatnonzero(score > 0)
+                    best.add(cell // len(b), score[cell], np.array(b.column("doc_id").to_pylist())[cell % len(b)])
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query].tolist()), pa.array(best.ident.tolist()), pa.array(best.rest["score"])], ["query_id", "doc_id", "score"])
+
+        parts.append(index.forward.mapInArrow(run, schema))
+    return _union(parts) if parts else spark.createDataFrame([], schema)
 
 
 def top(scored: DataFrame, k: int, score: str = "score", best_first: bool = True, ident: str = "doc_id") -> DataFrame:
     """The ``k`` best of each query with their ``rank`` from 1; scores equal to nine digits go by id."""
-    by = F.round(score, 9)
+    by = F.floor(F.col(score) * 1e9 + 0.5)
     order = Window.partitionBy("query_id").orderBy(by.desc() if best_first else by.asc(), F.col(ident))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def bm25_topk(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """The best documents with a positive score."""
-    return top(bm25_scores(index, queries).where("score > 0"), k)
+    return top(bm25_best(index, queries, k), k)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
 def knn(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, doc_id, distance, rank): the exact ``k`` nearest chunks (chunk_id, doc_id, vec) of each query.
 
-    Queries are cut into blocks of bounded size; each task scores its chunks against a block by a matrix product and
-    keeps its own best ``k`` only, so what is shuffled doesn't grow with the chunks. Null vectors are left out.
+    The queries go to the tasks as one matrix for each block of bounded size; chunks are read once for each block, and a
+    task gives its own best ``k`` only. Null vectors and chunks without an id are left out; vectors of another size than the queries' fail the job.
     """
-    blocks = max(1, -(-queries.count() // block))
-    lists = queries.where("vec is not null").select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
-    packed = lists.groupBy("b").agg(F.collect_list(F.struct("query_id", "vec")).alias("qs"))
     kinds = dict(chunks.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    out = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, distance double"
-
-    def score(it):
-        rows, qs, ids = [], {}, {}
-        for pdf in it:
-            for b, part in pdf.groupby("b"):
-                if b not in qs:
-                    lot = part.iloc[0]["qs"]
-                    m = np.array([q["vec"] for q in lot], float)
-                    qs[b], ids[b] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), np.array([q["query_id"] for q in lot])
-                v = np.array(part["vec"].tolist(), float)
-                d = 1 - qs[b] @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                take = min(k, d.shape[1])
-                # ties at the edge are kept, the final rank settles them
-                edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                qi, ci = np.nonzero(d <= edge + 1e-9)
-                rows.append(pd.DataFrame({"query_id": ids[b][qi], "chunk_id": part["chunk_id"].to_numpy()[ci], "doc_id": part["doc_id"].to_numpy()[ci], "distance": d[qi, ci]}))
-            if rows:
-                yield pd.concat(rows)
-                rows = []
-
-    # a stated query set in blocks of bounded size against all chunks
-    pairs = chunks.where("vec is not null").select("chunk_id", "doc_id", "vec").join(F.broadcast(packed) if blocks == 1 else packed)
-    return top(pairs.mapInPandas(score, out), k, "distance", False, "chunk_id")
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, distance double"
+    spark, parts = chunks.sparkSession, []
+    full = chunks.where("vec is not null and chunk_id is not null").select("chunk_id", "doc_id", "vec")
+    for lot in _blocks(queries.where("vec is not null").select("query_id", "vec"), block):
+        sent = spark.sparkContext.broadcast((np.array(lot.column("query_id").to_pylist(), object), _unit(np.array(lot.column("vec").to_pylist(), float))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, wanted = sent.value
+            best = _Best(len(ids), k)
+            for whole in batches:
+                for b in (whole.slice(at, 1_000) for at in range(0, len(whole), 1_000)):
+                    near = wanted @ _unit(np.array(b.column("vec").to_pylist(), float)).T
+                    # what is farther than the k-th so far can't come in
+                    q, c = np.nonzero(near - 1 >= best.edge[:, None] / 1e9 - 1e-8)
+                    best.add(q, near[q, c] - 1, np.array(b.column("chunk_id").to_pylist())[c], doc=np.array(b.column("doc_id").to_pylist(), object)[c])
+            if len(best.query):
+                cols = [pa.array(ids[best.query].tolist()), pa.array(best.ident.tolist()), pa.array(best.rest["doc"].tolist()), pa.array(-best.rest["score"])]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "chunk_id", "doc_id", "distance"])
+
+        parts.append(full.mapInArrow(run, schema))
+    return top(_union(parts) if parts else spark.createDataFrame([], schema), k, "distance", False, "chunk_id")
+
+
+def nearest_entry(rows: DataFrame, entries: DataFrame, block: int = 4096) -> DataFrame:
+    """(item, id, distance): for each of ``rows`` (item, vec) the nearest of ``entries`` (id, vec), of equal ones the least id.
+
+    The entries go to the tasks as matrices of bounded size, and rows are read once for each. Null vectors match nothing.
+    """
+    schema = f"item {dict(rows.dtypes)['item']}, id {dict(entries.dtypes)['id']}, distance double"
+    spark, parts = rows.sparkSession, []
+    full = rows.where("vec is not null").select("item", "vec")
+    for lot in _blocks(entries.where("vec is not null").select(F.col("id").alias("query_id"), "vec").orderBy("query_id"), block):
+        sent = spark.sparkContext.broadcast((np.array(lot.column("query_id").to_pylist()), _unit(np.array(lot.column("vec").to_pylist(), float))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, known = sent.value
+            for b in batches:
+                if len(b):
+                    key = np.floor((1 - _unit(np.array(b.column("vec").to_pylist(), float)) @ known.T) * 1e9 + 0.5)
+                    at = key.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(ids[at].tolist()), pa.array(key[np.arange(len(b)), at] / 1e9)], ["item", "id", "distance"])
+
+        parts.append(full.mapInArrow(run, schema))
+    near = _union(parts) if parts else spark.createDataFrame([], schema)
+    return near.groupBy("item").agg(F.min(F.struct("distance", "id")).alias("x")).select("item", "x.id", "x.distance")
 
 
 def within(hits: DataFrame, most: float) -> DataFrame:
@@ -172,6 +319,19 @@ def roll_up(hits: DataFrame, known: DataFrame, k: float = 60, weight: float = 0.
     return scores, state
 
 
+def branch_states(queries: DataFrame, hits: DataFrame, known: DataFrame, vectors_ready: bool) -> DataFrame:
+    """(query_id, degraded, reasons): how the vector branch fared for each of ``queries`` (query_id).
+
+    Without a vector table it is degraded for all; where all hits that name a document are orphans it is for that query;
+    no hits at all, or hits that name none, are no fault. Reasons are joined by a full-width semicolon.
+    """
+    state = roll_up(hits, known)[1]
+    lost = F.coalesce("degraded", F.lit(False))
+    reasons = F.array_compact(F.array(F.when(F.lit(not vectors_ready), F.lit("no vectors")), F.when(lost & F.lit(vectors_ready), F.lit("orphans only"))))
+    out = queries.select("query_id").distinct().join(state, "query_id", "left")
+    return out.select("query_id", (F.size(reasons) > 0).alias("degraded"), F.array_join(reasons, "；").alias("reasons"))
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, top_k: int, k: float = 60, weight: float = 0.5) -> DataFrame:
     """(query_id, doc_id, score, rank) from keyword ranks (query_id, doc_id, rank) and vector scores; a missing side is 0."""
     a = keyword.select("query_id", "doc_id", (F.lit(weight) / (F.lit(k) + F.col("rank"))).alias("keyword_score"))
@@ -191,9 +351,28 @@ def delete_vectors(chunks: DataFrame, ids: DataFrame | None = None, where: Colum
     return out if where is None else out.where(~F.coalesce(where, F.lit(False)))
 
 
+def refreshed_vectors(old: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, changes) of a dictionary's vectors (id, text, vec) after ``entries`` (id, text, vec) became its content.
+
+    ``changes`` (id, change) says which are new, changed, unchanged or stale; stale ones leave the table.
+    """
+    both = old.select("id", F.col("text").alias("was"), F.lit(True).alias("__old")).join(entries.select("id", "text", F.lit(True).alias("__new")), "id", "full_outer")
+    change = F.when(F.col("__new").isNull(), "stale").when(F.col("__old").isNull(), "new").when(F.col("was").eqNullSafe(F.col("text")), "unchanged").otherwise("changed")
+    changes = both.select("id", change.alias("change"))
+    kept = old.join(changes.where("change = 'unchanged'"), "id", "left_semi")
+    return kept.unionByName(entries.join(changes.where("change in ('new', 'changed')"), "id", "left_semi").select(kept.columns)), changes
+
+
 def one_dimension(chunks: DataFrame) -> DataFrame:
     """(dims, ok): how many vector sizes there are; one is right."""
-    return chunks.where("vec is not null").agg(F.count_distinct(F.size("vec")).alias("dims")).withColumn("ok", F.col("dims") <= 1)
+    return chunks.where("vec is not null and chunk_id is not null").agg(F.count_distinct(F.size("vec")).alias("dims")).withColumn("ok", F.col("dims") <= 1)
+
+
+def dense_embeddings(docs: DataFrame, dim: int) -> DataFrame:
+    """(doc_id, vec) of :func:`hash_embeddings` as whole vectors; texts without tokens have none."""
+    slots = hash_embeddings(docs, dim).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    at = F.sequence(F.lit(0), F.lit(dim - 1))
+    return slots.select("doc_id", F.transform(at, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
 
 
 def hash_embeddings(docs: DataFrame, dim: int) -> DataFrame:

@@ -5,13 +5,15 @@ A search takes as queries every row whose id is divisible by 50, against all row
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import feedback as FB
 from ..operators import search as S
-from ..runtime import table, written
+from ..runtime import own_dir, table
 
 TOP_K, DEPTH = 10, 50
 
@@ -30,7 +32,9 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> S.TextIndex:
-    return S.build_index(written(corpus(spark, d), "corpus"))
+    """The index of the corpus: stored below the shared folder and built anew when one of its five tables has changed."""
+    inputs = tuple(table(spark, d, t) for t in ("recipes", "recipe_ingredients", "ingredients", "recipe_tags", "tags"))
+    return S.refreshed_index(f"{own_dir(spark)}/index-{hashlib.md5(d.encode()).hexdigest()}", inputs, lambda: corpus(spark, d))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -82,9 +86,23 @@ def knn_within(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+def near_hits(spark: SparkSession, d: str) -> DataFrame:
+    return S.within(S.knn(chunks(spark, d), vector_queries(spark, d), 4 * TOP_K), 0.8)
+
+
+def known(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "recipes").select(F.col("id").alias("doc_id"))
+
+
 def _rolled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hits = S.within(S.knn(chunks(spark, d), vector_queries(spark, d), 4 * TOP_K), 0.8)
-    return S.roll_up(hits, table(spark, d, "recipes").select(F.col("id").alias("doc_id")))
+    return S.roll_up(near_hits(spark, d), known(spark, d))
+
+
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, different documents, and whether all vectors are of one size."""
+    c = chunks(spark, d)
+    sizes = S.one_dimension(c)
+    return c.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_id").alias("docs")).crossJoin(F.broadcast(sizes))
 
 
 def vector_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +141,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (clean_text, clean_lines, tokenize, corpus_text, corpus_probe, bm25_term_stats, bm25_topk, knn_topk, knn_within, vector_rollup, vector_degraded)
-    + (hybrid_fusion, hash_embedding, vector_upkeep, recall_at_k)
+    + (hybrid_fusion, hash_embedding, vector_upkeep, recall_at_k, collection_counts)
 }
 
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -135,6 +153,10 @@ def sql_clean(c: str) -> str:
     return f"regexp_replace({inner}, '{_STRIP}', '', 'g')"
 
 
+def sql_csv(c: str) -> str:
+    return f"list_filter(list_transform(string_split(coalesce({c}, ''), ','), lambda v: regexp_replace(v, '{_STRIP}', '', 'g')), lambda v: v <> '')"
+
+
 def sql_tokens(c: str) -> str:
     runs = f"regexp_extract_all({c}, '[\\x{{4e00}}-\\x{{9fff}}]+')"
     pairs = f"flatten(list_transform({runs}, lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END))"
@@ -188,6 +210,7 @@ SQL = {
     "hash_embedding": f"""WITH t AS (SELECT doc_id, unnest({sql_tokens("coalesce(text, '')")}) AS term FROM documents),
         c AS (SELECT doc_id, CAST(('0x' || right(md5(term), 3)) AS INT) % 64 AS slot, count(*) AS c FROM t GROUP BY 1, 2)
         SELECT doc_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM c""",
+    "collection_counts": "SELECT count(*) AS chunks, count(DISTINCT label) AS docs, count(DISTINCT len(embedding)) AS dims, count(DISTINCT len(embedding)) <= 1 AS ok FROM embeddings",
     "vector_upkeep": "SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS doc_id FROM embeddings WHERE label IN (SELECT id FROM recipes)",
     "recall_at_k": f"""WITH {BM25},
         title AS (SELECT id, {sql_clean('title')} AS t FROM recipes),

@@ -1,8 +1,8 @@
 """What the operators need of the cluster: a shared folder, written tables, joins that stand skew.
 
 Tables that cut lineage are written below the folder that ``spark.checkpoint.dir`` names, which all executors share, so
-that the loss of an executor costs a re-read and nothing else. Only where the setting is absent (tests, a local run) is
-a temporary folder made.
+that the loss of an executor costs a re-read and nothing else. Only where the setting is absent and Spark runs in one
+process (tests, a local run) is a temporary folder made; on a cluster the setting must be there.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its count is at most this and its rows are of a few fixed-width columns.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it has at most so many rows and so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _local: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where nothing is set."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local run where nothing is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = id(sc)
     if key not in _local:
         _local[key] = tempfile.mkdtemp(prefix="spark-")
@@ -38,9 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[key]}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables below the shared folder."""
+    return f"{shared_dir(spark)}/stockpot/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/stockpot/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that this application has written, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -51,13 +65,28 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: 8 for a value, the length of a text, and so for the items of an array."""
+    width = F.lit(8 * len(df.columns))
+    for c in df.schema:
+        if isinstance(c.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c.name), F.lit(0))
+        elif isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c.name))), F.lit(0))
+    return width
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of ``most`` bytes together; reads no further than one row beyond."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("b")).first()
+    return got.n <= rows and got.b <= most
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its count allows it, else as it is: Spark then shuffles both sides."""
+    """``df`` with a broadcast hint if its size allows it, else as it is: Spark then shuffles both sides.
+
+    The size is counted, so ``df`` is best a table read from files; what is costly to derive is written first.
+    """
     return F.broadcast(df) if small_enough(df, rows) else df
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +21,14 @@ ENVELOPE = T.StructType(
 )
 
 
-def read_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """Envelopes of all files named by a digest, with their path; unreadable ones have only ``_corrupt_record``."""
+def read_envelopes(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """Envelopes of all files named by a digest, with their path; unreadable ones have only ``_corrupt_record``.
+
+    With ``limit`` the first so many in order of their path.
+    """
     files = spark.read.schema(ENVELOPE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    return files.withColumn("path", F.input_file_name()).where(F.col("path").rlike(r"/[0-9a-f]{64}\.json$"))
+    named = files.withColumn("path", F.input_file_name()).where(F.col("path").rlike(r"/[0-9a-f]{64}\.json$"))
+    return named if limit is None else named.orderBy("path").limit(limit)
 
 
 def write_envelopes(rows: DataFrame, folder: str) -> None:
@@ -50,12 +55,17 @@ def save_state(spark: SparkSession, folder: str, state: dict[str, str]) -> None:
     spark.createDataFrame(sorted(state.items()), "key string, value string").coalesce(1).write.mode("overwrite").json(folder)
 
 
-def load_state(spark: SparkSession, folder: str) -> dict[str, str]:
-    """The saved state; empty where there is none or it can't be read."""
+def load_state(spark: SparkSession, folder: str, most: int = 10_000) -> dict[str, str]:
+    """The saved state; empty where there is none, and lines that don't parse are skipped. More than ``most`` keys fail."""
     try:
-        return {r.key: r.value for r in spark.read.schema("key string, value string").json(folder).limit(10_000).collect() if r.key is not None}
-    except Exception:
-        return {}
+        rows = spark.read.schema("key string, value string").json(folder).limit(most + 1).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    if len(rows) > most:
+        raise ValueError(f"a state has at most {most} keys; keep larger ones in a table")
+    return {r.key: r.value for r in rows if r.key is not None}
 
 
 def synthetic_recipes(spark: SparkSession, n: int, words: dict[str, list[str]]) -> DataFrame:

@@ -6,14 +6,21 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import url_host
 
+#: Paths of log-in and challenge pages (fixed values).
 BLOCKED = r"/auth/|[Cc][Aa][Pp][Tt][Cc][Hh][Aa]"
 
 
+def read_sitemaps(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, xml) of the site maps in a folder, each whole; Spark unpacks those whose name ends in .gz."""
+    files = spark.read.option("wholetext", True).text(folder)
+    return files.select(F.input_file_name().alias("page_id"), F.col("value").alias("xml"))
+
+
 def sitemap_urls(pages: DataFrame) -> DataFrame:
     """(page_id, pos, url) of the ``loc`` elements of (page_id, xml), whatever their namespace."""
     found = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?loc\b[^>]*>\s*([^<]*?)\s*</(?:\w+:)?loc>"), F.lit(1))

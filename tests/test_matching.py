@@ -52,9 +52,30 @@ def test_query_and_choices(spark):
     rows = [(1, p, n) for p, n in enumerate(["土豆", " 土豆", "鸡蛋", "", "神秘果"] + [f"n{i}" for i in range(40)])]
     q = M.build_query(spark.createDataFrame(rows, "query_id long, pos int, name string")).first().query.split(" ")
     assert q[:3] == ["土豆", "鸡蛋", "神秘果"] and len(q) == 28
-    chosen = spark.createDataFrame([(1, 2, 0), (1, 1, 1), (1, 2, 2), (1, 9, 3)], "query_id long, recipe_id long, pos int")
-    cands = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3)], "query_id long, recipe_id long, rank int")
-    assert [r.recipe_id for r in M.valid_choices(chosen, cands).orderBy("place").collect()] == [1, 2]
+    chosen = spark.createDataFrame([(1, 2, 0, ["x"]), (1, 1, 1, None), (1, 2, 2, []), (1, 9, 3, None), (2, 9, 1, None)], "query_id long, recipe_id long, pos int, steps array<string>")
+    cands = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 3, 1), (2, 1, 2)], "query_id long, recipe_id long, rank int")
+    recipes = spark.createDataFrame([(i, f"r{i}", 1, 5, [("a",), ("b",)]) for i in (1, 2, 3)], "id long, title string, difficulty int, cook_time_minutes int, steps array<struct<instruction:string>>")
+    got = [(r.query_id, r.recipe_id, r.title, r.n_steps, r.steps_from, r.degraded) for r in M.valid_choices(chosen, cands, recipes).orderBy("query_id", "place").collect()]
+    assert got == [(1, 1, "r1", 2, "recipe", False), (1, 2, "r2", 1, "choice", False), (2, 3, "r3", 2, "recipe", True), (2, 1, "r1", 2, "recipe", True)]
+
+
+def test_request_faults(spark):
+    ok = ("q", "a,b", None, 10)
+    rows = [ok, (" ", "", "", 1), ("x" * 201, "", "", 1), ("a\x07", "", "", 1), ("q", "", "", 51), ("q", "", "", None), ("q", ",".join("a" * 31), "", 1), ("q", "b" * 51, "", 1), ("q", "", "a,\x01b", 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "request_id long, q string, ingredients string, exclude_tags string, limit_n int")
+    got = {r.request_id: r.reason for r in M.request_faults(df).collect()}
+    assert list(map(got.get, range(9))) == [None, "empty text", "long text", "control character", "limit", "limit", "many ingredients", "long ingredients", "control character in exclude_tags"]
+
+
+def test_facts_and_groups(spark):
+    d = dictionary(spark)
+    recipes = spark.createDataFrame([(10, "t", 1, 5, None), (11, "u", None, None, [("a",)])], "id long, title string, difficulty int, cook_time_minutes int, steps array<struct<instruction:string>>")
+    bridge = spark.createDataFrame([(10, 3, "1勺"), (10, 1, "2个"), (10, 3, "1勺")], "recipe_id long, ingredient_id long, amount string")
+    wanted = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (3, 99), (4, None)], "query_id long, recipe_id long")
+    got = {(r.query_id, r.recipe_id, r.n_steps, r.seasonings) for r in M.recipe_facts(wanted, recipes, bridge, d).collect()}
+    assert got == {(1, 10, 0, "蚝油：1勺"), (2, 11, 1, "")}
+    tags = spark.createDataFrame([("b", "taste"), ("a", "taste"), ("c", "unknown"), ("d", "allergen"), ("e", None)], "name string, kind string")
+    assert {tuple(r) for r in M.grouped_tags(tags).collect()} == {("taste", 4, "a、b"), ("allergen", 1, "d")}
 
 
 def test_autocomplete(spark):

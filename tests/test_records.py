@@ -141,3 +141,26 @@ def test_skew_join_is_a_left_join(spark):
     right = spark.createDataFrame([(k, k * 10) for k in range(0, 20)], "k long, w long")
     want = sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
     assert sorted(map(tuple, skew_left_join(left, right, "k", 0.2, 10).select("k", "v", "w").collect()), key=str) == want
+
+
+def test_too_deep_bodies_are_reported(spark):
+    deep = '{"recipe": {"steps": ' + "[" * 100_000 + "]" * 100_000 + "}}"
+    rows = emit_tagged(spark.createDataFrame([(1, deep), (2, '{"recipe": {"steps": "a"}}')], "k long, b string"), "k", "b", "recipe", (Child("steps", "instruction"),)).collect()
+    assert sorted((r.doc_key, r.tag, r.text) for r in rows) == [(1, "_too_deep", None), (2, "steps", "a")]
+
+
+def test_cascade_fails_rather_than_stop_early(spark):
+    links = spark.createDataFrame([(i, i - 1, None) for i in range(1, 6)], "row_id long, ref_id long, ref_time timestamp")
+    none = parent_states(spark.createDataFrame([], "id long, created_at timestamp"), "id", "created_at")
+    first = spark.createDataFrame([(0, 77, None)], "row_id long, ref_id long, ref_time timestamp")
+    graph = [Reference("t", first, "p", none), Reference("t", links, "t", None)]
+    assert orphan_cascade(graph).agg({"depth": "max"}).first()[0] == 5
+    with pytest.raises(RuntimeError):
+        orphan_cascade(graph, max_rounds=3)
+
+
+def test_same_amount_with_other_names(spark):
+    rows = [(1, "两", "面粉(克)"), (2, "两", "盐(kg)"), (3, "两", None), (4, "12", "水(ml)")]
+    df = spark.createDataFrame(rows, "id long, amount string, name string").coalesce(1)
+    got = {r.id: (r.base_unit, r.quantity_milli) for r in read_quantities(df, "amount", UNITS, "name").collect()}
+    assert got == {1: ("g", 2000), 2: ("g", 2000000), 3: (None, None), 4: ("ml", 12000)}

@@ -33,7 +33,7 @@ def test_bm25_against_model(spark):
         if s > 0:
             want[i] = s
     index = S.build_index(spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string"))
-    got = {r.doc_id: r.score for r in S.bm25_scores(index, spark.createDataFrame([(1, " ".join(asked))], "query_id long, text string")).where("score > 0").collect()}
+    got = {r.doc_id: r.score for r in S.bm25_best(index, spark.createDataFrame([(1, " ".join(asked))], "query_id long, text string"), 1_000).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -47,6 +47,55 @@ def test_index_round_trip(spark, tmp_path):
     assert S.load_index(spark, str(tmp_path / "none")) is None
 
 
+def test_refresh_follows_its_inputs(spark, tmp_path):
+    docs, built = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id long, text string"), []
+
+    def corpus(df):
+        built.append(1)
+        return df
+
+    path = str(tmp_path / "index")
+    for df in (docs, docs, docs.where("doc_id = 1"), docs):
+        index = S.refreshed_index(path, (df,), lambda: corpus(df))
+        assert index.totals.first().n == df.count()
+    assert len(built) == 2
+
+
+def test_best_keeps_the_least_ids_of_ties(spark):
+    docs = spark.createDataFrame([(i, "same text") for i in range(200)] + [(999, None), (998, "other")], "doc_id long, text string").repartition(7)
+    q = spark.createDataFrame([(1, "same"), (2, "other nothing"), (3, ""), (4, None)], "query_id long, text string")
+    hits = [(r.query_id, r.doc_id) for r in S.bm25_topk(S.build_index(docs), q, 3).orderBy("query_id", "rank").collect()]
+    assert [d for q_, d in hits if q_ == 2] == [998] and [d for q_, d in hits if q_ == 1] in ([], [0, 1, 2])
+    best = S._Best(2, 2)
+    for ids in (np.array([5, 6, 7]), np.array([1, 2, 9])):
+        best.add(np.zeros(3, np.int64), np.full(3, 0.5), ids)
+    assert best.ident.tolist() == [1, 2]
+
+
+def test_blocks_of_queries_give_the_same(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") for _ in range(6))) for i in range(80)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") for _ in range(3))) for i in range(20)], "query_id long, text string")
+    index = S.build_index(docs)
+    one, many = ({tuple(r) for r in S.top(S.bm25_best(index, q, 4, most), 4).select("query_id", "doc_id", "rank").collect()} for most in (1_000, 7))
+    assert one == many and len(one) > 20
+
+
+def test_states_and_vectors(spark):
+    hits = spark.createDataFrame([(1, 1, 9, 0.1, 1), (2, 2, 5, 0.1, 1), (2, 3, 9, 0.2, 2), (3, 4, None, 0.1, 1)], "query_id long, chunk_id long, doc_id long, distance double, rank int")
+    known, q = spark.createDataFrame([(5,)], "doc_id long"), spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "query_id long")
+    assert {tuple(r) for r in S.branch_states(q, hits, known, True).collect()} == {(1, True, "orphans only"), (2, False, ""), (3, False, ""), (4, False, "")}
+    assert {r.reasons for r in S.branch_states(q, hits, known, False).collect()} == {"no vectors"}
+    old = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0]), (3, "c", [1.0])], "id long, text string, vec array<double>")
+    new = spark.createDataFrame([(1, "a", [2.0]), (2, "B", [2.0]), (4, "d", [2.0])], "id long, text string, vec array<double>")
+    vectors, changes = S.refreshed_vectors(old, new)
+    assert {(r.id, r.vec[0]) for r in vectors.collect()} == {(1, 1.0), (2, 2.0), (4, 2.0)}
+    assert {tuple(r) for r in changes.collect()} == {(1, "unchanged"), (2, "changed"), (3, "stale"), (4, "new")}
+    rows = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None), ("z", [0.0, 2.0])], "item string, vec array<double>")
+    near = {r["item"]: r.id for r in S.nearest_entry(rows, spark.createDataFrame([(7, [3.0, 0.1]), (6, [3.0, 0.1]), (5, [0.0, 1.0])], "id long, vec array<double>"), block=2).collect()}
+    assert near == {"x": 6, "z": 5}
+
+
 def test_knn_against_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))

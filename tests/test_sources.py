@@ -71,3 +71,26 @@ def test_stream_ingest(spark, tmp_path):
         stream = spark.readStream.schema("envelope_id long, body string").parquet(src)
         events.ingest_envelopes(stream, str(tmp_path / "cp"), str(tmp_path / "ok"), str(tmp_path / "no")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "no")).first().reason == "unreadable"
+
+
+def test_state_has_a_bound(spark, tmp_path):
+    import pytest
+
+    from stockpot.sources import files
+
+    files.save_state(spark, str(tmp_path / "s"), {str(i): "x" for i in range(5)})
+    assert len(files.load_state(spark, str(tmp_path / "s"))) == 5 and files.load_state(spark, str(tmp_path / "none")) == {}
+    with pytest.raises(ValueError):
+        files.load_state(spark, str(tmp_path / "s"), most=4)
+
+
+def test_lists_of_addresses_may_be_gzipped(spark, tmp_path):
+    import gzip
+
+    from stockpot.sources.pages import read_sitemaps, sitemap_urls
+
+    xml = "<urlset><url><loc> https://a.example/recipe/1/ </loc></url></urlset>"
+    (tmp_path / "1.xml.gz").write_bytes(gzip.compress(xml.encode()))
+    (tmp_path / "2.xml").write_text(xml.replace("1/", "2/"))
+    got = sitemap_urls(read_sitemaps(spark, str(tmp_path))).collect()
+    assert sorted(r.url for r in got) == ["https://a.example/recipe/1/", "https://a.example/recipe/2/"]
