@@ -1,17 +1,20 @@
-"""Encoding with a public byte-level BPE, reusing what was encoded before.
-
-Texts are cut where a rolling hash of the last characters says so, so that the same passage is cut alike wherever it
-stands. A cut that falls inside a unit of the tokenizer's pattern would change the tokens there: such a join is
-repaired by encoding the unit whole, with the piece before the cut, up to the first place after it where the pattern
-always ends a unit. All pieces so begin and end at such places, and the ids of a text are exactly the ids of its pieces
-one after another. Each Python worker encodes a piece once and keeps its ids for all documents of all its tasks,
-within a bound of memory.
+"""Encoding with a public byte-level BPE, in which chunks that documents share are encoded once.
+
+Texts are cut into chunks where a rolling hash of the last characters says so, so that the same passage is cut alike
+wherever it stands. Chunks found in several documents are encoded once, as a table, and joined back. A cut that falls
+inside a unit of the tokenizer's pattern would change the tokens there: such a join is repaired by encoding it anew, with
+what is before and after the cut up to the next places where the pattern always ends a unit. Since those places split a
+text into parts that are encoded independently, the ids are exactly those of the whole text.
+
+Where only numbers of tokens are wanted, pieces that end at such places are counted, and each Python worker keeps those
+it has met lately, of at most ``KEEP_PIECE`` characters and within a bound of memory.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -23,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import skew_left_join, spread, written
 
 #: Place of the vocabulary on every machine; a parameter of all operators.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,7 +34,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: One cut in so many characters, and the characters that decide it.
+#: Of chunks: one cut in so many characters, the characters that decide it, and the least length of a core.
+CHUNK_EVERY, CHUNK_WINDOW, CHUNK_LEAST = 64, 16, 24
+#: The same for the pieces whose tokens are only counted.
 CUT_EVERY, WINDOW = 2, 4
 #: Characters of pieces that a worker keeps in each of its two generations, and the longest piece kept.
 KEEP_CHARS, KEEP_PIECE = 40_000_000, 400
@@ -74,7 +79,7 @@ def rolling_cuts(cp: np.ndarray, every: int = CUT_EVERY, window: int = WINDOW) -
     """For each i whether the rolling hash of the characters up to i asks for a cut after it."""
     h = np.zeros(len(cp), np.uint32)
     for j in range(window):
-        h[j:] += cp[: len(cp) - j] * np.uint32((0x9E3779B1 * (2 * j + 1)) & 0xFFFFFFFF)
+        h[j:] += cp[: max(0, len(cp) - j)] * np.uint32((0x9E3779B1 * (2 * j + 1)) & 0xFFFFFFFF)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
@@ -175,24 +180,110 @@ def batches_of_texts(b: pa.RecordBatch, column: str, most: int = 2_000_000) -> I
         at = to
 
 
+def chunk_cores(texts: list[str], every: int = CHUNK_EVERY, shortest: int = CHUNK_LEAST) -> Iterator[list[tuple[int, int, bytes]]]:
+    """For each text the parts (from, to, digest) of its content-defined chunks that are encoded alike wherever they stand.
+
+    A chunk ends where the rolling hash of the last characters of its own text says so. The hash may ask for a cut within
+    a unit of the pattern, so a chunk's core reaches from its first to its last place where the pattern always ends a
+    unit; what lies between two cores is the join that is encoded anew. Cores of fewer than ``shortest`` characters are
+    not worth a lookup.
+    """
+    gap = "\0" * CHUNK_WINDOW
+    whole = gap + "".join(t + gap for t in texts)
+    cp = code_points(whole)
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size + CHUNK_WINDOW) - size
+    safe = np.zeros(len(cp) + 1, bool)
+    safe[1:-1] = safe_places(char_classes(cp))
+    safe[start] = safe[start + size] = True
+    places = np.flatnonzero(safe)
+    cut = np.zeros(len(cp) + 1, bool)
+    cut[1:] = rolling_cuts(cp, every, CHUNK_WINDOW)
+    for s, n, text in zip(start.tolist(), size.tolist(), texts):
+        ends = np.append(np.flatnonzero(cut[s + 1 : s + n]) + s + 1, s + n)
+        begins = np.concatenate([[s], ends[:-1]])
+        lo, hi = places[np.searchsorted(places, begins, "left")], places[np.searchsorted(places, ends, "right") - 1]
+        long = hi - lo >= shortest
+        yield [(x, y, hashlib.blake2b(text[x:y].encode("utf-8", "surrogatepass"), digest_size=16).digest()) for x, y in zip((lo[long] - s).tolist(), (hi[long] - s).tolist())]
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, t) -> (k, digest): the different chunk cores of each text."""
+    for b in batches:
+        for at, texts in batches_of_texts(b, "t"):
+            own = [list({d for _, _, d in c}) for c in chunk_cores([t or "" for t in texts])]
+            row = np.repeat(np.arange(at, at + len(texts)), [len(o) for o in own])
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row)), pa.array([d for o in own for d in o], pa.binary())], ["k", "digest"])
+
+
+def _ids_column(parts: list[array]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(p.tobytes() for p in parts), np.int32)))
+
+
+def shared_chunks(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(marks, encoded): (k, digest) of the chunk cores of ``rows`` (k, t), and (digest, ids) of those in several texts.
+
+    Each chunk that several documents share is encoded once, by the first of them. Documents whose key is null or occurs
+    more than once take no part.
+    """
+    single = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("k")
+    marks = written(rows.select("k", "t").mapInArrow(_marks, f"k {dict(rows.dtypes)['k']}, digest binary").join(single, "k", "left_semi"), "chunk-marks")
+    shared = marks.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
+    wanted = shared.groupBy(F.col("first").alias("k")).agg(F.collect_list("digest").alias("digests"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(vocabulary).bpe
+        for b in batches:
+            for at, texts in batches_of_texts(b, "t"):
+                digests, ids = [], []
+                for text, cores, asked in zip(texts, chunk_cores([t or "" for t in texts]), b.column("digests").slice(at, len(texts)).to_pylist()):
+                    open_ = set(asked)
+                    for x, y, d in cores:
+                        if d in open_:
+                            open_.remove(d)
+                            digests.append(d)
+                            ids.append(array("i", bpe.encode_ordinary(text[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _ids_column(ids)], ["digest", "ids"])
+
+    encoded = rows.join(wanted, "k").select("t", "digests").mapInArrow(make, "digest binary, ids array<int>")
+    return marks, written(encoded, "encoded-chunks")
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): one row for each row of ``docs``, ids as array<int> without special tokens.
 
-    Null and empty texts give an empty list; repeated keys give a row each; other columns are left behind. Texts are
-    encoded whole, whatever their length.
+    Chunks that several documents share are encoded once (see :func:`shared_chunks`) and come to their documents by a
+    join; what lies between them is encoded in place, from a place where the pattern ends a unit to the next, so that the
+    ids are those of the whole text. Null and empty texts give an empty list; repeated keys give a row each; other
+    columns are left behind. Texts are encoded whole, whatever their length.
     """
+    kind = dict(docs.dtypes)[key]
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    marks, encoded = shared_chunks(rows, vocabulary)
+    found = skew_left_join(marks, encoded, "digest").where("ids is not null").groupBy("k").agg(F.collect_list(F.struct("digest", "ids")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        bpe = encoder(vocabulary).bpe
         for b in batches:
             for at, texts in batches_of_texts(b, "t"):
-                ids, off = encode_batch(texts, enc)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("k").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))], ["k", "ids"]
-                )
-
-    kind = dict(docs.dtypes)[key]
-    return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+                given = b.column("found").slice(at, len(texts)).to_pylist()
+                some = [i for i, g in enumerate(given) if g]
+                cores = dict(zip(some, chunk_cores([texts[i] for i in some]))) if some else {}
+                out = []
+                for i, t in enumerate(texts):
+                    ids, p = array("i"), 0
+                    known = {f["digest"]: f["ids"] for f in given[i]} if i in cores else {}
+                    for x, y, d in cores.get(i, ()):
+                        if d in known:
+                            ids.extend(bpe.encode_ordinary(t[p:x]))
+                            ids.extend(known[d])
+                            p = y
+                    ids.extend(bpe.encode_ordinary((t or "")[p:]))
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(at, len(texts)), _ids_column(out)], ["k", "ids"])
+
+    return rows.join(found, "k", "left").mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

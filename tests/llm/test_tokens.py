@@ -34,6 +34,20 @@ def test_reuse_has_a_bound():
     assert sum(map(len, enc.known)) <= 2_500 + max(map(len, texts(0) + [""])) * 200
 
 
+def test_shared_chunks_give_the_ids_of_whole_texts(spark):
+    """Passages stand in many documents, at other places and cut within words, numbers, spaces and contractions."""
+    rng, enc = random.Random(5), E.encoder(E.VOCABULARY)
+    passages = ["".join(rng.choice(["土豆。", "word ", " 12345", ", ", "don't ", "\n\n", "字", "é", "!? "]) for _ in range(120)) for _ in range(6)]
+    all_texts = ["".join(rng.choice([rng.choice(passages), rng.choice(passages)[rng.randint(0, 60) :], rng.choice(PIECES)]) for _ in range(rng.randint(0, 5))) for _ in range(80)]
+    rows = list(enumerate(all_texts)) + [(7, all_texts[3]), (None, passages[0]), (500, None), (501, ""), (502, passages[0] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS ids", "3 AS digest")
+    got = sorted(((r.doc_id, r.ids) for r in E.encode(df).collect()), key=str)
+    assert got == sorted(((i, enc.bpe.encode_ordinary(t or "")) for i, t in rows), key=str)
+    marks, encoded = E.shared_chunks(df.selectExpr("doc_id AS k", "text AS t"))
+    assert encoded.count() == encoded.select("digest").distinct().count() > 20
+    assert marks.where("k = 7 OR k IS NULL").count() == 0
+
+
 def test_against_the_other_library(spark, data):
     from tokenizers import Tokenizer
 
