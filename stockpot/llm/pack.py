@@ -158,7 +158,8 @@ def fill_containers(
     """
     each = sizes.groupBy("item").agg(F.coalesce(F.max("n_tokens"), F.lit(0)).cast("int").alias("n"))
     over = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("int")
-    parts = each.select("item", "n", over.alias("whole"))
+    # written once, so that what the sizes are counted from is read once
+    parts = written(each.select("item", "n", over.alias("whole")), "sizes")
     whole = parts.where("whole > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"), F.lit(capacity).alias("n_tokens"))
     full_bins = whole.withColumn("container", F.concat_ws("-", F.lit("w"), F.col("item").cast("string"), F.col("part").cast("string")))
     pool = written(parts.select("item", F.col("whole").alias("part"), (F.col("n") - F.col("whole") * capacity).alias("n_tokens")), "items")
