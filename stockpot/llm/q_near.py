@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import small_enough, table
+from ..operators.search import inputs_fingerprint
+from ..runtime import bounded_broadcast, own_dir, table, written
 from .near_copies import group_pairs, near_copy_groups
-from .pairs import PairState, empty_state, scores, update
+from .pairs import PairStore, pair_counts, scores, update, updated_counts
 
 
 def recipe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,28 +31,41 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_groups(recipe_texts(spark, sf_dir), 0.6, 3)
 
 
-def _pair_state(spark: SparkSession, sf_dir: str) -> PairState:
-    """The pair counts after two loads: what had come by the end of the last year but one, then the changes since."""
+def _pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores after two updates: what had come by the end of the last year but one, then the changes since.
+
+    The first load has rows of unknown ingredients too; the second withdraws them and adds what came later, and only what
+    this changes is counted anew. The store and the counts stay below the shared folder, so that a further query on the
+    same tables starts from them.
+    """
     known = table(spark, sf_dir, "ingredients").select(F.col("id").alias("item"))
     raw = table(spark, sf_dir, "recipe_ingredients").select(F.col("recipe_id").alias("basket"), F.col("ingredient_id").alias("item"), "ingested_at")
-    rows = raw.join(F.broadcast(known) if small_enough(known, 10_000) else known, "item", "left_semi")
-    last = rows.agg(F.trunc(F.max("ingested_at"), "year").alias("cut"))
-    rows = rows.crossJoin(F.broadcast(last))
-    late = F.coalesce(F.col("ingested_at") >= F.col("cut"), F.lit(False))
-    state, _ = update(empty_state(rows), rows.where(~late))
-    state, _ = update(state, rows.where(late))
-    return state
+    mark = hashlib.md5(f"{sf_dir} {inputs_fingerprint(raw, known)}".encode()).hexdigest()
+    store = PairStore(spark, f"{own_dir(spark)}/pair-store-{mark}", (dict(raw.dtypes)["basket"], dict(raw.dtypes)["item"]))
+    kept = f"{store.path}/counts"
+    try:
+        return scores(spark.read.parquet(kept), store)
+    except AnalysisException:
+        pass
+    last = raw.agg(F.trunc(F.max("ingested_at"), "year").alias("cut")).first().cut
+    late = F.coalesce(F.col("ingested_at") >= F.lit(last), F.lit(False))
+    update(store, raw.where(~late))
+    first = written(pair_counts(store), "first-counts")
+    known = bounded_broadcast(known, 10_000)
+    changes = update(store, raw.where(late).join(known, "item", "left_semi"), raw.join(known, "item", "left_anti"))
+    updated_counts(first, store, changes).write.mode("overwrite").parquet(kept)
+    return scores(spark.read.parquet(kept), store)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scores(_pair_state(spark, sf_dir))
+    s = _pair_scores(spark, sf_dir)
     often = s.where("n_ab >= 4 and n_ab * 100 >= n and n_ab * n >= 4 * n_a * n_b")
     return often.select(F.col("a").alias("ingredient_a"), F.col("b").alias("ingredient_b")).distinct()
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair with its counts and lift."""
-    s = scores(_pair_state(spark, sf_dir))
+    s = _pair_scores(spark, sf_dir)
     return s.select(F.col("a").alias("ingredient_a"), F.col("b").alias("ingredient_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 

@@ -64,21 +64,41 @@ def counts(rows):
     return pairs, items, len(baskets)
 
 
-def test_pair_updates(spark):
+def test_pair_updates(spark, tmp_path):
     rng = random.Random(7)
     row = lambda: (rng.randint(0, 12), rng.randint(0, 9))
-    first, added, removed = [row() for _ in range(60)] + [(None, 1), (1, None)], [row() for _ in range(25)], [row() for _ in range(25)]
+    first, added, removed = [row() for _ in range(60)] + [(None, 1), (1, None)], [row() for _ in range(25)], [row() for _ in range(40)]
     frame = lambda rows: spark.createDataFrame(rows, "basket long, item long").selectExpr("*", "1 AS n", "2 AS a")
-    state, _ = P.update(P.empty_state(frame(first)), frame(first))
-    state, changed = P.update(state, frame(added), frame(removed))
-    rows = (set(first) - (set(removed) - set(added))) | set(added)
-    pairs, items, n = counts(rows)
-    got = {(r.a, r.b): r for r in P.scores(state).collect()}
-    assert {k: r.n_ab for k, r in got.items()} == pairs
-    assert all((r.n_a, r.n_b, r.n) == (items[k[0]], items[k[1]], n) for k, r in got.items())
-    before = counts(first)[0]
-    assert {tuple(r) for r in changed.collect()} == {k for k in set(before) | set(pairs) if before.get(k, 0) != pairs.get(k, 0)}
-    assert P.scores(P.empty_state(frame(first))).count() == 0
+    store = P.PairStore(spark, str(tmp_path / "pairs"))
+    assert P.scores(P.pair_counts(store), store).count() == 0
+    P.update(store, frame(first))
+    scored, now = P.written(P.pair_counts(store), "scored"), set(first)
+    # more rows, some withdrawn; then the withdrawn ones come again; then nothing that isn't known; then all go
+    for plus, minus in ((added, removed), (removed, []), (removed, [(99, 99)]), ([], list(set(first + added + removed)))):
+        before = counts(now)
+        now = (now - (set(minus) - set(plus))) | set(plus)
+        changes = P.update(store, frame(plus) if plus else None, frame(minus) if minus else None)
+        pairs, items, n = counts(now)
+        scored = P.written(P.updated_counts(scored, store, changes), "scored")
+        got = {(r.a, r.b): r for r in P.scores(scored, store).collect()}
+        assert {k: r.n_ab for k, r in got.items()} == pairs and {tuple(r)[:2] for r in P.pair_counts(store).collect()} == set(pairs)
+        assert all((r.n_a, r.n_b, r.n) == (items[k[0]], items[k[1]], n) for k, r in got.items())
+        assert {tuple(r) for r in changes.pairs.collect()} == {k for k in set(before[0]) | set(pairs) if before[0].get(k, 0) != pairs.get(k, 0)}
+        assert {r.item for r in changes.items.collect()} == {k for k in set(before[1]) | set(items) if before[1].get(k, 0) != items.get(k, 0)}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    import os
+
+    store = P.PairStore(spark, str(tmp_path / "pairs"))
+    frame = lambda rows: spark.createDataFrame(rows, "basket long, item long")
+    P.update(store, frame([(b, i) for b in range(60) for i in range(b % 7, b % 7 + 4)]))
+    files = lambda: {n: {f for _, _, fs in os.walk(tmp_path / "pairs" / "pairs" / n) for f in fs} for n in os.listdir(tmp_path / "pairs" / "pairs") if n.startswith("bucket")}
+    before = files()
+    P.update(store, frame([(0, 50)]))
+    after = files()
+    changed = {n for n in after if after[n] != before.get(n)}
+    assert 0 < len(changed) <= 4 < len(before)
 
 
 def test_large_baskets_in_blocks(spark):
