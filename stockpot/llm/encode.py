@@ -128,6 +128,11 @@ class Encoder:
         return got
 
 
+def _numbers(bpe, text: str) -> np.ndarray:
+    """The ids of a text as an array."""
+    return bpe.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+
+
 class _Known(dict):
     """Pieces and their ids in two generations: when the new one is full it becomes the old one."""
 
@@ -216,9 +221,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row)), pa.array([d for o in own for d in o], pa.binary())], ["k", "digest"])
 
 
-def _ids_column(parts: list[array]) -> pa.Array:
-    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(p.tobytes() for p in parts), np.int32)))
+def _ids_column(parts: list[list[np.ndarray]]) -> pa.Array:
+    """The ids of each row, given in parts."""
+    off = np.concatenate([[0], np.cumsum([sum(map(len, p)) for p in parts])]).astype(np.int32)
+    flat = [x for p in parts for x in p]
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)))
 
 
 def shared_chunks(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +250,7 @@ def shared_chunks(rows: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFr
                         if d in open_:
                             open_.remove(d)
                             digests.append(d)
-                            ids.append(array("i", bpe.encode_ordinary(text[x:y])))
+                            ids.append([_numbers(bpe, text[x:y])])
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _ids_column(ids)], ["digest", "ids"])
 
     encoded = rows.join(wanted, "k").select("t", "digests").mapInArrow(make, "digest binary, ids array<int>")
@@ -267,20 +274,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         bpe = encoder(vocabulary).bpe
         for b in batches:
             for at, texts in batches_of_texts(b, "t"):
-                given = b.column("found").slice(at, len(texts)).to_pylist()
-                some = [i for i, g in enumerate(given) if g]
+                given = b.column("found").slice(at, len(texts))
+                some = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)).tolist()
                 cores = dict(zip(some, chunk_cores([texts[i] for i in some]))) if some else {}
+                first, each = given.offsets.to_numpy(), given.values
+                ids, off = each.field("ids").values.to_numpy(), each.field("ids").offsets.to_numpy()
                 out = []
                 for i, t in enumerate(texts):
-                    ids, p = array("i"), 0
-                    known = {f["digest"]: f["ids"] for f in given[i]} if i in cores else {}
+                    parts, p = [], 0
+                    own = range(first[i], first[i + 1]) if i in cores else ()
+                    known = {each.field("digest")[j].as_py(): ids[off[j] : off[j + 1]] for j in own}
                     for x, y, d in cores.get(i, ()):
                         if d in known:
-                            ids.extend(bpe.encode_ordinary(t[p:x]))
-                            ids.extend(known[d])
+                            parts += [_numbers(bpe, t[p:x]), known[d]]
                             p = y
-                    ids.extend(bpe.encode_ordinary((t or "")[p:]))
-                    out.append(ids)
+                    parts.append(_numbers(bpe, (t or "")[p:]))
+                    out.append(parts)
                 yield pa.RecordBatch.from_arrays([b.column("k").slice(at, len(texts)), _ids_column(out)], ["k", "ids"])
 
     return rows.join(found, "k", "left").mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
