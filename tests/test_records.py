@@ -95,7 +95,11 @@ def test_p5_units_keeps_the_stated_unit(spark, tmp_path):
     items = [(i, datetime(2024, 1 + 2 * d, 1), n, a) for i, (n, a, d) in enumerate(rows)]
     spark.createDataFrame(items, "item_id long, crawled_at timestamp_ntz, name string, amount string").write.parquet(f"{tmp_path}/crawled_ingredients.parquet")
     spark.createDataFrame(UNITS, "unit_code string, base_unit string, factor_milli long, labels array<string>").write.parquet(f"{tmp_path}/measure_units.parquet")
-    got = {(r.device, r.value): r.decoded for r in p5_units(spark, str(tmp_path)).collect()}
+    used = [(5, 7, "3", datetime(2024, 5, 1)), (5, 7, "3", datetime(2024, 6, 1)), (4, 7, "2kg", datetime(2024, 5, 1)), (6, 7, "适量", None), (6, None, "1", None)]
+    spark.createDataFrame(used, "recipe_id long, ingredient_id long, amount string, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/recipe_ingredients.parquet")
+    rows = p5_units(spark, str(tmp_path)).collect()
+    assert [(r.row_id, r.ref_id, r.value, r.decoded) for r in rows if r.source_table == "recipe_ingredients"] == [(5, 7, 3.0, "kg")]
+    got = {(r.device, r.value): r.decoded for r in rows if r.source_table == "crawled_ingredients"}
     assert got == {("rice", 2.0): "jin", ("rice", 280.0): "g", ("milk", 1.0): "cup", ("milk", 28.0): "ml"}
 
 
