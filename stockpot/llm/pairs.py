@@ -94,8 +94,8 @@ class PairStore:
 
 
 def _merged(store: PairStore, name: str, deltas: DataFrame, keys: list[str], count: str) -> None:
-    """Add ``deltas`` (keys, d) to the counts in the buckets they fall into."""
-    deltas = written(deltas.groupBy(*keys).agg(F.sum("d").alias("d")).where("d <> 0").withColumn("bucket", _bucket(*keys)), f"{name}-deltas")
+    """Add ``deltas`` (keys, d; one row each) to the counts in the buckets they fall into."""
+    deltas = deltas.withColumn("bucket", _bucket(*keys))
     buckets = store.touched(deltas)
     if buckets:
         old = store.read(name, buckets).select(*keys, F.col(count).alias("d"), "bucket")
@@ -111,8 +111,10 @@ def update(store: PairStore, added: DataFrame | None = None, removed: DataFrame
     """
     none = store.spark.createDataFrame([], store.schemas["rows"]).select("basket", "item")
     clean = lambda df: none if df is None else df.select("basket", "item").where("basket is not null and item is not null").distinct()
-    come, go = clean(added).withColumn("up", F.lit(True)), clean(removed).withColumn("up", F.lit(False))
-    asked = written(come.unionByName(go).groupBy("basket", "item").agg(F.max("up").alias("up")).withColumn("bucket", _bucket("basket")), "asked")
+    asked = clean(added).withColumn("up", F.lit(True))
+    if removed is not None:
+        asked = asked.unionByName(clean(removed).withColumn("up", F.lit(False))).groupBy("basket", "item").agg(F.max("up").alias("up"))
+    asked = written(asked.withColumn("bucket", _bucket("basket")), "asked")
     buckets = store.touched(asked)
     known = store.read("rows", buckets)
     state = asked.join(known.select("basket", "item", "live"), ["basket", "item"], "left")
@@ -123,18 +125,19 @@ def update(store: PairStore, added: DataFrame | None = None, removed: DataFrame
     rest = known.where("live").join(touched, "basket", "left_semi").join(moved.select("basket", "item"), ["basket", "item"], "left_anti")
     rest = written(rest.select("basket", "item", F.lit(False).alias("fresh")), "kept-rows")
     pairs, begun = [], []
-    for sign in (1, -1):
+    for sign in (1,) if removed is None else (1, -1):
         own = moved.where(F.col("sign") == sign).select("basket", "item", F.lit(True).alias("fresh"))
         whole = rest.join(own.select("basket").distinct(), "basket", "left_semi").unionByName(own)
         pairs.append(basket_pairs(whole).where("fresh").groupBy("a", "b").agg((F.count(F.lit(1)) * sign).alias("d")))
         # a basket begins with its first row and ends with its last; one that does both is there before and after
         only = own.select("basket").distinct().join(rest.select("basket").distinct(), "basket", "left_anti")
         begun.append(only.agg((F.count(F.lit(1)) * sign).alias("n")))
-    pair_delta = written(pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.sum("d").alias("d")).where("d <> 0"), "changed-pairs")
+    pair_delta = pairs[0] if removed is None else pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.sum("d").alias("d")).where("d <> 0")
+    pair_delta = written(pair_delta, "changed-pairs")
     item_delta = written(moved.groupBy("item").agg(F.sum("sign").alias("d")).where("d <> 0"), "changed-items")
     _merged(store, "pairs", pair_delta, ["a", "b"], "n_ab")
     _merged(store, "items", item_delta, ["item"], "n_item")
-    n = begun[0].unionByName(begun[1]).agg(F.sum("n").alias("n"))
+    n = begun[0] if removed is None else begun[0].unionByName(begun[1])
     total = written(store.total.unionByName(n).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "total")
     back = store.touched(moved.where("known"))
     if back:
