@@ -1,7 +1,8 @@
 """Freely typed values mapped to a list of canonical entries.
 
 Values are brought to a plain form and cut into segments; each segment, with and without the words that only describe
-state, cut, packing or brand, is looked up in the list. What isn't found is looked up within a bounded edit distance:
+state, cut, packing or brand, is looked up in the list. Such words are learned from the values: they stand beside whole
+keys of several entries. What isn't found is looked up within a bounded edit distance:
 the list is stored with all strings that deleting up to ``distance`` characters from a key gives, and so are the
 segments, so that near keys meet by equality (symmetric deletes). Candidates are ranked by a weighted
 Damerau-Levenshtein distance and then by how often their entry is written exactly. Last, a key that stands whole within
@@ -17,19 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import BROADCAST_ROWS, bounded_broadcast, skew_left_join, written
+from ..runtime import BROADCAST_ROWS, bounded_broadcast, skew_left_join, spread, written
 from .plain import with_plain_form
 
-#: Words before and after a name that don't change what is meant (fixed values).
-BEFORE = (
-    "特级 进口 冷冻 速冻 散装 农家 野生 有机 新鲜 手切 家里剩的 超市买的 当季 泡发 可选 云栖牌 禾渡 岸田家 优质 精选 国产 自制 现磨 本地".split()
-    + ["fresh", "organic", "frozen", "homemade", "leftover", "good quality", "finely chopped", "chopped", "diced", "sliced", "minced"]
-    + ["dried", "canned", "raw", "ripe", "norvale", "pellmoor", "optional"]
-)
-AFTER = (
-    "段 丝 丁 碎 末 条 块 片 粒 备用 提前解冻 洗净 切片 去皮 主料 切碎 没有可不放 约半份 可选".split()
-    + ["chopped", "diced", "rinsed", "optional", "to serve", "at room temp", "organic", "fresh", "sliced", "minced", "to taste"]
-)
+#: Words and runs of characters that describe a name are learned: they stand beside at least so many different entries, and
+#: have at most so many characters. So often at least a slip is seen before it counts as likely.
+DESCRIBED, DESCRIBING, SLIPS = 3, 12, 2
 #: Traditional characters of food names, each before its simplified form (fixed values).
 TRADITIONAL_PAIRS = (
     "鹽盐 節节 藥药 鐵铁 蘆芦 絲丝 羅罗 涼凉 陽阳 萵莴 筍笋 葉叶 藍蓝 蘭兰 莢荚 長长 麥麦 穀谷 蘿萝 蔔卜 櫻樱 聖圣 紅红 頭头 薺荠 馬马 鱗鳞 針针 "
@@ -39,12 +33,6 @@ TRADITIONAL_PAIRS = (
 ).split()
 TRADITIONAL = "".join(p[0] for p in TRADITIONAL_PAIRS)
 SIMPLIFIED = "".join(p[1] for p in TRADITIONAL_PAIRS)
-#: Characters taken for each other because they sound or look alike (fixed values).
-CONFUSED = (
-    "菇姑 葵癸 莓梅 粉份 糖塘 奶乃 咖加 猴候 蹄题 鹌安 甘干 茭交 杏信 笋损 腐付 椒娇 芥介 芝之 孜仔 酪洛 苏酥 蜂峰 麻嘛 耳儿 醋错 荸比 枸构 荷河 酱浆 "
-    "桂贵 薯署 萝罗 豉鼓 蜜密 芦卢 榄揽 橄敢 喱里 藕偶 芹琴 莴窝 杞起 椰耶 腱键 淀定 籽子 蛤哈 葫胡 苹平 枣早 姜将 蒜算 莲连 藜黎 燕雁 糯诺 糕羔 纳那 "
-    "皮披 虾下 蟹懈 鱿犹 鳗曼 鲈卢 鳕雪 参叁 蚝毫 贝背 菱凌 芋宇 苔台 韭九 芫元 莲联 檬蒙 柠宁 榴留 桃逃 橘桔 梨犁 菠波 酒久 油由 盐言 豆逗 瓜呱"
-).split()
 #: Measures that may stand with a name and mean no entry (fixed values).
 MEASURES = "克 公克 千克 公斤 斤 市斤 两 市两 盎司 磅 毫升 厘升 分升 升 公升 汤匙 大勺 大匙 茶匙 小勺 小匙 杯 量杯 碗 液量盎司 个 只 根 包 袋 盒 g kg gr oz lb ml cl dl l cc tbsp tsp cup bowl pcs".split()
 
@@ -66,14 +54,46 @@ def segments(folded: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.split(s, r"\|"), lambda x: F.trim(x))), lambda x: (F.length(x) > 0) & ~x.isin(*MEASURES))
 
 
-def _stripped(seg: Column) -> Column:
-    """A segment without describing words: none, then those before it, then one and all of those after it."""
-    han = [w for w in BEFORE if not w.isascii()], [w for w in AFTER if not w.isascii()]
-    latin = [w for w in BEFORE if w.isascii()], [w for w in AFTER if w.isascii()]
-    before = F.regexp_replace(seg, rf"^(?:(?:{'|'.join(han[0])})|(?:{'|'.join(latin[0])}) )+", "")
-    last = rf"(?:{'|'.join(han[1])}| (?:{'|'.join(latin[1])}))"
-    one, every = F.regexp_replace(before, rf"{last}$", ""), F.regexp_replace(before, rf"{last}+$", "")
-    return F.filter(F.array_distinct(F.array(seg, before, one, every)), lambda x: F.length(x) > 0)
+def _cuts(text: Column, most: int) -> Column:
+    """All ways to cut a segment in two (left, right) with at most ``most`` characters, or words, on one side."""
+    n, words = F.length(text), F.split(text, " ")
+    w = F.size(words)
+    near = lambda i, n: (i < n) & ((i <= most) | (i >= n - most))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: near(i, n))
+    by = F.filter(F.sequence(F.lit(1), F.greatest(w - 1, F.lit(1))), lambda i: near(i, w))
+    han = F.transform(at, lambda i: F.struct(F.substring(text, F.lit(1), i).alias("left"), F.substring(text, i + 1, n).alias("right")))
+    latin = F.transform(by, lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("left"), F.array_join(F.slice(words, i + 1, w), " ").alias("right")))
+    return F.when(text.rlike(_CJK), han).otherwise(latin)
+
+
+def describing_words(segs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """(side, piece): what stands before or after a whole key in the distinct segments (seg), beside several entries.
+
+    Of the keys that begin or end a segment the longest counts. A piece that is itself a key describes nothing.
+    """
+    cut = segs.select("seg", F.explode(_cuts(F.col("seg"), max(longest, DESCRIBING))).alias("c")).select("seg", "c.left", "c.right")
+    known = bounded_broadcast(keys.select("form", "entry"))
+    sides = (("before", "left", "right"), ("after", "right", "left"))
+    beside = [cut.join(known, F.col(key) == F.col("form")).select("seg", F.lit(side).alias("side"), F.col(piece).alias("piece"), "entry", F.length("form").alias("size")) for side, piece, key in sides]
+    best = beside[0].unionByName(beside[1]).groupBy("seg", "side").agg(F.max_by(F.struct("piece", "entry"), F.struct("size", "entry")).alias("x"))
+    counted = best.groupBy("side", F.col("x.piece").alias("piece")).agg(F.count_distinct("x.entry").alias("n"))
+    return counted.where((F.col("n") >= DESCRIBED) & (F.length("piece") <= DESCRIBING)).join(known, F.col("piece") == F.col("form"), "left_anti").select("side", "piece")
+
+
+def stripped_forms(segs: DataFrame, words: DataFrame, times: int = 2) -> DataFrame:
+    """(seg, form, tier): each distinct segment (seg) as it is and without up to ``times`` describing words before and after
+    it; tier tells how many are off."""
+    words = bounded_broadcast(words)
+    forms = segs.select("seg", F.col("seg").alias("form"), F.lit(0).alias("tier"))
+    for side, piece, rest in (("before", "left", "right"), ("after", "right", "left")):
+        last = forms
+        for _ in range(times):
+            cut = last.select("seg", "tier", F.explode(_cuts(F.col("form"), DESCRIBING)).alias("c")).select("seg", "tier", F.col(f"c.{piece}").alias("piece"), F.col(f"c.{rest}").alias("form"))
+            last = cut.join(words.where(F.col("side") == side), "piece", "left_semi").select("seg", "form", (F.col("tier") + 1).alias("tier"))
+            last = written(last.groupBy("seg", "form").agg(F.min("tier").alias("tier")), "stripped")
+            forms = forms.unionByName(last)
+        forms = written(forms.groupBy("seg", "form").agg(F.min("tier").alias("tier")), "forms")
+    return forms
 
 
 def _shorter(strings: Column) -> Column:
@@ -96,11 +116,11 @@ def bound_for(text: Column, distance: int) -> Column:
     return F.when(F.length(text) >= 9, distance).when(F.length(text) >= 2, min(1, distance)).otherwise(0)
 
 
-def weighted_distance(a: str, b: str, alike: frozenset) -> float:
+def weighted_distance(a: str, b: str) -> float:
     """Damerau-Levenshtein distance in which likely slips cost less than others.
 
-    Doubling a character or leaving out one of two equal ones, and a plural s, cost 0.4; a swap of neighbours 0.6;
-    characters taken for each other 0.5; any other insertion or deletion 0.9; any other exchange 1.
+    Doubling a character or leaving out one of two equal ones, and a plural s, cost 0.4; a swap of neighbours 0.6; any
+    other insertion or deletion 0.9; an exchange 1.
     """
 
     def gap(s: str, i: int) -> float:
@@ -115,20 +135,23 @@ def weighted_distance(a: str, b: str, alike: frozenset) -> float:
         d[0][j + 1] = d[0][j] + gap(b, j)
     for i in range(len(a)):
         for j in range(len(b)):
-            swap = 0.0 if a[i] == b[j] else 0.5 if frozenset((a[i], b[j])) in alike else 1.0
-            best = min(d[i][j] + swap, d[i][j + 1] + gap(a, i), d[i + 1][j] + gap(b, j))
+            best = min(d[i][j] + (a[i] != b[j]), d[i][j + 1] + gap(a, i), d[i + 1][j] + gap(b, j))
             if i and j and a[i] == b[j - 1] and a[i - 1] == b[j] and a[i] != b[j]:
                 best = min(best, d[i - 1][j - 1] + 0.6)
             d[i + 1][j + 1] = best
     return d[-1][-1]
 
 
-def _distances(alike: frozenset):
-    @F.pandas_udf(T.DoubleType())
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_distance(x, y, alike) for x, y in zip(a, b)])
+@F.pandas_udf(T.DoubleType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weighted_distance(x, y) for x, y in zip(a, b)])
+
 
-    return distance
+def _exchange(form: Column, key: Column) -> Column:
+    """The two characters exchanged, lesser first, where the texts differ in just one of them; else null."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(form), F.lit(1))), lambda i: F.substring(form, i, F.lit(1)) != F.substring(key, i, F.lit(1)))
+    x, y = F.substring(form, at[0], F.lit(1)), F.substring(key, at[0], F.lit(1))
+    return F.when((F.length(form) == F.length(key)) & (F.size(at) == 1), F.concat(F.least(x, y), F.greatest(x, y)))
 
 
 def entry_keys(entries: DataFrame, key: str, name: str, aliases: str) -> DataFrame:
@@ -140,7 +163,12 @@ def entry_keys(entries: DataFrame, key: str, name: str, aliases: str) -> DataFra
 
 
 def match_forms(forms: DataFrame, keys: DataFrame, distance: int = 2) -> DataFrame:
-    """(form, entry, own, cost): for each distinct ``form`` the entries whose keys are equal to it, else near it."""
+    """(form, entry, own, cost): for each distinct ``form`` (form, whole) the entries whose keys equal it, else near it.
+
+    ``whole`` tells how often the form stands as it is, nothing taken off. An exchange of two characters that whole forms
+    and keys near them show at least ``SLIPS`` times is a likely slip and costs 0.5.
+    """
+    forms = written(forms.select("form", "whole"), "distinct-forms")
     keys = bounded_broadcast(keys)
     exact = forms.join(keys, "form").select("form", "entry", "own", F.lit(0.0).alias("cost"))
     longest = keys.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("longest"))
@@ -157,12 +185,14 @@ def match_forms(forms: DataFrame, keys: DataFrame, distance: int = 2) -> DataFra
     stored = bounded_broadcast(written(stored, "delete-variants"), BROADCAST_ROWS)
     near = variants(open_.select("form")).join(stored, "variant").select("form", "key", "entry", "own").distinct()
     near = near.where(F.levenshtein("form", "key") <= 2 * bound_for(F.greatest("form", "key"), distance))
-    alike = frozenset(frozenset(p) for p in CONFUSED)
-    ranked = near.withColumn("cost", _distances(alike)("form", "key")).where(F.col("cost") <= bound_for(F.col("form"), distance))
-    return exact.unionByName(ranked.select("form", "entry", "own", "cost"))
+    near = written(near.withColumn("exchange", _exchange(F.col("form"), F.col("key"))), "near-keys")
+    likely = near.select("form", "key", "exchange").distinct().join(forms, "form").groupBy("exchange").agg(F.sum("whole").alias("n"))
+    likely = bounded_broadcast(written(likely.where((F.col("n") >= SLIPS) & F.col("exchange").isNotNull()).select("exchange", F.lit(0.5).alias("slip")), "slips"))
+    priced = spread(near).join(likely, "exchange", "left").withColumn("cost", F.coalesce("slip", _distance("form", "key")))
+    return exact.unionByName(priced.where(F.col("cost") <= bound_for(F.col("form"), distance)).select("form", "entry", "own", "cost"))
 
 
-def _within(seg: Column, longest: int, most_words: int = 4) -> Column:
+def _within(seg: Column, longest: int, most_words: int) -> Column:
     """Every run of 2 to ``longest`` Chinese characters and of 1 to ``most_words`` words within a segment."""
     chars = F.flatten(
         F.transform(
@@ -180,7 +210,7 @@ def _within(seg: Column, longest: int, most_words: int = 4) -> Column:
     return F.array_distinct(F.when(seg.rlike(_CJK), chars).otherwise(runs))
 
 
-def canonical_names(values: DataFrame, keys: DataFrame, distance: int = 2, longest_han: int = 8) -> DataFrame:
+def canonical_names(values: DataFrame, keys: DataFrame, distance: int = 2) -> DataFrame:
     """(name, entry): each distinct non-empty ``name`` of ``values`` (name, times) with its entry, 0 where none is meant.
 
     Rank: lower cost, then the less stripped form, then a name before an alias, then the entry written exactly more
@@ -188,18 +218,24 @@ def canonical_names(values: DataFrame, keys: DataFrame, distance: int = 2, longe
     """
     plain = with_plain_form(values.select("name", "times"), "name").select("name", "times", fold(F.col("plain_text")).alias("folded"))
     segs = written(plain.select("name", "times", F.explode_outer(segments(F.col("folded"))).alias("seg")), "segments")
-    forms = segs.where("seg is not null").select("name", "seg", "times", F.posexplode(_stripped(F.col("seg"))).alias("tier", "form"))
-    forms = written(forms, "forms")
-    matched = written(match_forms(forms.select("form").distinct(), keys, distance), "matches")
+    sizes = keys.agg(F.max(F.when(F.col("form").rlike(_CJK), F.length("form"))).alias("han"), F.max(F.size(F.split("form", " "))).alias("words")).first()
+    longest, most_words = max(2, sizes.han or 2), sizes.words or 1
+    each = written(segs.where("seg is not null").groupBy("seg").agg(F.sum("times").alias("times")), "distinct-segments")
+    words = written(describing_words(each.select("seg"), keys, max(longest, most_words)), "describing-words")
+    # a segment that is itself a describing word is a remark, not a name misspelt
+    stripped = stripped_forms(each.select("seg"), words).join(bounded_broadcast(words.select(F.col("piece").alias("form")).distinct()), "form", "left_anti")
+    whole = stripped.join(each, "seg").groupBy("form").agg(F.sum(F.when(F.col("tier") == 0, F.col("times")).otherwise(0)).alias("whole"))
+    matched = written(match_forms(whole, keys, distance), "matches")
+    forms = segs.where("seg is not null").join(stripped, "seg").select("name", "seg", "times", "form", "tier")
     often = forms.join(matched.where("cost = 0"), "form").groupBy("entry").agg(F.sum("times").alias("often"))
     # two Chinese characters of which one is exchanged for an unlike one say too little once a third was taken off
-    weak = (F.length("form") <= 2) & F.col("form").rlike(_CJK) & (F.col("cost") > 0.6) & (F.col("form") != F.col("seg"))
+    weak = (F.length("form") <= 2) & F.col("form").rlike(_CJK) & (F.col("cost") > 0.6) & (F.col("tier") > 0)
     hits = forms.join(matched, "form").where(~weak).select("name", "entry", "own", F.col("cost"), "tier")
     # whole keys within segments of names that have no match so far
     left = segs.where("seg is not null").join(hits.select("name").distinct(), "name", "left_anti")
-    inner = left.select("name", F.explode(_within(F.col("seg"), longest_han)).alias("form")).join(bounded_broadcast(keys), "form")
+    inner = left.select("name", F.explode(_within(F.col("seg"), longest, most_words)).alias("form")).join(bounded_broadcast(keys), "form")
     inner = inner.select("name", "entry", "own", (F.lit(10.0) - F.length("form") / 100).alias("cost"), F.lit(9).alias("tier"))
-    ranked = hits.unionByName(inner).join(bounded_broadcast(often), "entry", "left")
+    ranked = hits.unionByName(inner).join(bounded_broadcast(written(often, "often")), "entry", "left")
     order = F.struct("cost", "tier", (~F.col("own")).alias("alias"), (-F.coalesce("often", F.lit(0))).alias("rarely"), "entry")
     best = ranked.groupBy("name").agg(F.min(order).alias("best")).select("name", F.col("best.entry").alias("entry"))
     return plain.select("name").join(best, "name", "left").select("name", F.coalesce("entry", F.lit(0).cast("long")).alias("entry"))

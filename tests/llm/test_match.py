@@ -26,8 +26,7 @@ def test_symmetric_deletes_find_all_near_keys(spark):
     keys = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 11))) for _ in range(60)})
     forms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 11))) for _ in range(60)})
     kd = spark.createDataFrame([(i, k, True) for i, k in enumerate(keys)], "entry long, form string, own boolean")
-    got = {(r.form, r.entry) for r in C.match_forms(spark.createDataFrame([(f,) for f in forms], "form string"), kd).collect()}
-    alike = frozenset(frozenset(p) for p in C.CONFUSED)
+    got = {(r.form, r.entry) for r in C.match_forms(spark.createDataFrame([(f, 0) for f in forms], "form string, whole long"), kd).collect()}
     bound = lambda f: 2 if len(f) >= 9 else 1 if len(f) >= 2 else 0
 
     def edits(a, b):
@@ -46,7 +45,20 @@ def test_symmetric_deletes_find_all_near_keys(spark):
             elif edits(f, k) <= bound(f):
                 assert (f, i) in got, (f, k)
             elif (f, i) in got:
-                assert C.weighted_distance(f, k, alike) <= bound(f)
+                assert C.weighted_distance(f, k) <= bound(f)
+
+
+def test_learned_words_and_slips(spark):
+    """What stands beside several entries is taken off, and exchanges that are seen often cost less."""
+    keys = spark.createDataFrame([(1, "海盐", True), (2, "红枣", True), (3, "奶酪", True), (4, "brown rice", True)], "entry long, form string, own boolean")
+    segs = spark.createDataFrame([(s,) for s in ("岩石牌海盐", "岩石牌红枣", "岩石牌奶酪", "岩石牌红早", "奶酪红枣", "海盐罐", "old brown rice")], "seg string")
+    words = C.describing_words(segs, keys, 4)
+    assert {tuple(r) for r in words.collect()} == {("before", "岩石牌")}
+    forms = {(r.seg, r.form, r.tier) for r in C.stripped_forms(segs, words).collect()}
+    assert ("岩石牌红早", "红早", 1) in forms and ("海盐罐", "海盐罐", 0) in forms and len(forms) == 11
+    cost = lambda n: {r.entry: r.cost for r in C.match_forms(spark.createDataFrame([("红早", n), ("海言", 0)], "form string, whole long"), keys).collect()}
+    assert cost(2) == {2: 0.5, 1: 1.0} and cost(1) == {2: 1.0, 1: 1.0}
+    assert C.describing_words(segs.where("false"), keys, 4).count() == 0
 
 
 def counts(rows):
