@@ -66,17 +66,22 @@ def _cuts(text: Column, most: int) -> Column:
     return F.when(text.rlike(_CJK), han).otherwise(latin)
 
 
-def describing_words(segs: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
-    """(side, piece): what stands before or after a whole key in the distinct segments (seg), beside several entries.
+def describing_words(values: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """(side, piece): what stands before or after a whole key in a segment of ``values`` (name, seg), or apart from it in
+    the same value, beside several entries.
 
     Of the keys that begin or end a segment the longest counts. A piece that is itself a key describes nothing.
     """
+    segs = values.select("seg").distinct()
     cut = segs.select("seg", F.explode(_cuts(F.col("seg"), max(longest, DESCRIBING))).alias("c")).select("seg", "c.left", "c.right")
     known = bounded_broadcast(keys.select("form", "entry"))
     sides = (("before", "left", "right"), ("after", "right", "left"))
     beside = [cut.join(known, F.col(key) == F.col("form")).select("seg", F.lit(side).alias("side"), F.col(piece).alias("piece"), "entry", F.length("form").alias("size")) for side, piece, key in sides]
     best = beside[0].unionByName(beside[1]).groupBy("seg", "side").agg(F.max_by(F.struct("piece", "entry"), F.struct("size", "entry")).alias("x"))
-    counted = best.groupBy("side", F.col("x.piece").alias("piece")).agg(F.count_distinct("x.entry").alias("n"))
+    named = values.join(known, F.col("seg") == F.col("form")).select("name", "entry")
+    apart = values.join(named, "name").select(F.lit("apart").alias("side"), F.col("seg").alias("piece"), "entry").distinct()
+    every = best.select("side", "x.piece", "x.entry").unionByName(apart)
+    counted = every.groupBy("side", "piece").agg(F.count_distinct("entry").alias("n"))
     return counted.where((F.col("n") >= DESCRIBED) & (F.length("piece") <= DESCRIBING)).join(known, F.col("piece") == F.col("form"), "left_anti").select("side", "piece")
 
 
@@ -221,7 +226,7 @@ def canonical_names(values: DataFrame, keys: DataFrame, distance: int = 2) -> Da
     sizes = keys.agg(F.max(F.when(F.col("form").rlike(_CJK), F.length("form"))).alias("han"), F.max(F.size(F.split("form", " "))).alias("words")).first()
     longest, most_words = max(2, sizes.han or 2), sizes.words or 1
     each = written(segs.where("seg is not null").groupBy("seg").agg(F.sum("times").alias("times")), "distinct-segments")
-    words = written(describing_words(each.select("seg"), keys, max(longest, most_words)), "describing-words")
+    words = written(describing_words(segs.where("seg is not null").select("name", "seg"), keys, max(longest, most_words)), "describing-words")
     # a segment that is itself a describing word is a remark, not a name misspelt
     stripped = stripped_forms(each.select("seg"), words).join(bounded_broadcast(words.select(F.col("piece").alias("form")).distinct()), "form", "left_anti")
     whole = stripped.join(each, "seg").groupBy("form").agg(F.sum(F.when(F.col("tier") == 0, F.col("times")).otherwise(0)).alias("whole"))

@@ -52,13 +52,15 @@ def test_learned_words_and_slips(spark):
     """What stands beside several entries is taken off, and exchanges that are seen often cost less."""
     keys = spark.createDataFrame([(1, "海盐", True), (2, "红枣", True), (3, "奶酪", True), (4, "brown rice", True)], "entry long, form string, own boolean")
     segs = spark.createDataFrame([(s,) for s in ("岩石牌海盐", "岩石牌红枣", "岩石牌奶酪", "岩石牌红早", "奶酪红枣", "海盐罐", "old brown rice")], "seg string")
-    words = C.describing_words(segs, keys, 4)
-    assert {tuple(r) for r in words.collect()} == {("before", "岩石牌")}
+    beside = [(10 + i, x) for i, k in enumerate(["海盐", "红枣", "奶酪"]) for x in (k, "去皮")] + [(20, "海盐"), (20, "奶酪"), (20, "一次")]
+    values = segs.selectExpr("1L AS name", "seg").unionByName(spark.createDataFrame(beside, "name long, seg string"))
+    words = C.describing_words(values, keys, 4)
+    assert {tuple(r) for r in words.collect()} == {("before", "岩石牌"), ("apart", "去皮")}
     forms = {(r.seg, r.form, r.tier) for r in C.stripped_forms(segs, words).collect()}
     assert ("岩石牌红早", "红早", 1) in forms and ("海盐罐", "海盐罐", 0) in forms and len(forms) == 11
     cost = lambda n: {r.entry: r.cost for r in C.match_forms(spark.createDataFrame([("红早", n), ("海言", 0)], "form string, whole long"), keys).collect()}
     assert cost(2) == {2: 0.5, 1: 1.0} and cost(1) == {2: 1.0, 1: 1.0}
-    assert C.describing_words(segs.where("false"), keys, 4).count() == 0
+    assert C.describing_words(values.where("false"), keys, 4).count() == 0
 
 
 def counts(rows):
