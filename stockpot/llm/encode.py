@@ -308,3 +308,17 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     kind = dict(docs.dtypes)[key]
     return spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, n_tokens long").withColumnRenamed("k", key)
 
+
+def token_bytes(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
+    """(key, n_bytes): how many bytes the tokens of each row of (key, ids) stand for together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(vocabulary).bpe
+        size = np.array([len(bpe.decode_single_token_bytes(t)) for t in range(bpe.max_token_value + 1)], np.int64)
+        for b in batches:
+            off = b.column("ids").offsets.to_numpy()
+            total = np.concatenate([[0], np.cumsum(size[b.column("ids").values.to_numpy()])])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(total[off[1:]] - total[off[:-1]])], ["k", "n_bytes"])
+
+    kind = dict(encoded.dtypes)[key]
+    return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(run, f"k {kind}, n_bytes long").withColumnRenamed("k", key)

@@ -78,7 +78,24 @@ _COUNTS = """
              FROM used x JOIN used y ON x.recipe_id = y.recipe_id AND x.ingredient_id < y.ingredient_id GROUP BY 1, 2),
     counted AS (SELECT ingredient_a, ingredient_b, n_ab, a.c AS n_a, b.c AS n_b, (SELECT count(DISTINCT recipe_id) FROM used) AS n
                 FROM pair JOIN item a ON a.ingredient_id = ingredient_a JOIN item b ON b.ingredient_id = ingredient_b)"""
+_WHITE = r"[\s\x0B\p{Z}\x{85}\x{1C}-\x{1F}]+"
+_GROUPS = f"""
+    texts AS (SELECT id, regexp_replace(concat(title, description, array_to_string(list_transform(steps, lambda s: coalesce(s.instruction, '')), '')), '{_WHITE}', '', 'g') AS t
+              FROM recipes WHERE len(steps) > 0),
+    classes AS (SELECT t, min(id) AS rep, count(*) AS copies FROM texts WHERE t <> '' GROUP BY 1),
+    grams AS (SELECT DISTINCT rep, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS g FROM classes),
+    sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY 1),
+    shared AS (SELECT x.rep AS a, y.rep AS b, count(*) AS s FROM grams x JOIN grams y ON x.g = y.g AND x.rep < y.rep GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE s * 10 >= 6 * greatest(x.n, y.n)),
+    ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+    comps AS (SELECT a AS rep, least(a, min(b)) AS component FROM reach GROUP BY 1),
+    degrees AS (SELECT a AS rep, count(*) AS links FROM ends GROUP BY 1),
+    groups AS (SELECT id, coalesce(component, c.rep) AS component, coalesce(links, 0) AS links
+               FROM texts JOIN classes c USING (t) LEFT JOIN comps ON comps.rep = c.rep LEFT JOIN degrees ON degrees.rep = c.rep WHERE component IS NOT NULL OR copies > 1)"""
 SQL: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_GROUPS} SELECT x.id AS id_a, y.id AS id_b FROM groups x JOIN groups y ON x.component = y.component AND x.id < y.id",
+    "p1_groups": f"WITH RECURSIVE {_GROUPS} SELECT * FROM groups",
     "p4_found": _COUNTS + " SELECT ingredient_a, ingredient_b FROM counted WHERE n_ab >= 4 AND n_ab * 100 >= n AND n_ab * n >= 4 * n_a * n_b",
     "p4_scores": _COUNTS + " SELECT *, round(CAST(n_ab * n AS DOUBLE) / (n_a * n_b), 6) AS lift FROM counted",
 }

@@ -20,7 +20,7 @@ from .encode import NUMBER, LETTER, OTHER, SPACE, VOCABULARY, batches_of_texts,
 
 #: Characters that end a sentence (fixed values).
 ENDS = "。！？!?…；;.~"
-DIMS, BLOCK = 64, 4
+DIMS, BLOCK = 256, 4
 PIECES = "k {kind}, piece int, from_char int, to_char int, body_from int, n_tokens int, text string"
 
 
@@ -56,9 +56,9 @@ def cohesion_depths(cp: np.ndarray, bounds: np.ndarray, block: int = BLOCK, dims
     if k < 3:
         return np.zeros(k)
     unit = np.repeat(np.arange(k), np.diff(np.concatenate([[0], bounds])))
-    word = ((cp[:-1].astype(np.uint64) * np.uint64(31) + cp[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-    counts = np.bincount(unit[:-1] * dims + word.astype(np.int64), minlength=k * dims).reshape(k, dims).astype(float)
-    total = np.concatenate([np.zeros((1, dims)), np.cumsum(counts, axis=0)])
+    word = (((cp[:-1].astype(np.uint64) * np.uint64(31) + cp[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(dims)
+    counts = np.bincount(unit[:-1] * dims + word.astype(np.int64), minlength=k * dims).reshape(k, dims).astype(np.float32)
+    total = np.concatenate([np.zeros((1, dims), np.float32), np.cumsum(counts, axis=0)])
     i = np.arange(1, k)
     left = total[i] - total[np.maximum(0, i - block)]
     right = total[np.minimum(k, i + block)] - total[i]

@@ -122,6 +122,22 @@ def test_cuts_fall_between_topics():
     assert cutter.pieces(a + b)[0][1] == len(a)
 
 
+def test_cuts_fall_on_planted_seams(data, monkeypatch):
+    """Two texts one after the other: the first cut is at the seam far more often than by paragraphs alone."""
+    import pyarrow.parquet as pq
+
+    pool = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column("text").to_pylist() if t and 150 < len(t) < 1500 and "\n" in t]
+    cutter, rng, cases = split.Cutter(E.VOCABULARY, 400, 0), random.Random(3), []
+    while len(cases) < 60:
+        a, b = (x.strip() for x in rng.sample(pool, 2))
+        size = len(cutter.enc.ids(a))
+        if 220 < size < 380 and size + len(cutter.enc.ids(b)) > 450:
+            cases.append((a + "\n" + b, len(a)))
+    hits = sum(cutter.pieces(t)[0][1] == at for t, at in cases)
+    monkeypatch.setattr(split, "cohesion_depths", lambda cp, bounds: np.zeros(len(bounds)))
+    assert hits >= 30 and hits > 1.5 * sum(cutter.pieces(t)[0][1] == at for t, at in cases)
+
+
 def test_overlap_is_less_than_half():
     with pytest.raises(ValueError):
         split.Cutter(E.VOCABULARY, 100, 50)
