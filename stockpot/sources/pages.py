@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import url_host
+from ..functions.text import split_instructions, strip, url_host
 
 #: Paths of log-in and challenge pages (fixed values).
 BLOCKED = r"/auth/|[Cc][Aa][Pp][Tt][Cc][Hh][Aa]"
@@ -27,10 +27,14 @@ def sitemap_urls(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("pos", "url")).where("url <> ''")
 
 
+#: The path of a recipe's page (fixed value).
+RECIPE_PATH = r"/recipe/\d+/?"
+
+
 def recipe_links(html: Column) -> Column:
     """Distinct links to recipes in order of first appearance."""
     links = F.regexp_extract_all(html, F.lit(r"""href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.array_distinct(F.filter(links, lambda x: x.rlike(r"^(?:https?://[^/]+)?/recipe/\d+/?$")))
+    return F.array_distinct(F.filter(links, lambda x: x.rlike(rf"^(?:https?://[^/]+)?{RECIPE_PATH}$")))
 
 
 def has_next(html: Column) -> Column:
@@ -106,3 +110,26 @@ def fields_by_class(pages: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
     kind = dict(pages.dtypes)["page_id"]
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, field string, pos int, text string")
+
+
+def linked_fields(pages: DataFrame) -> DataFrame:
+    """(page_id, field, pos, text) of (page_id, html) from the page's linked data: title, description, ingredients, steps."""
+    data = pages.select("page_id", linked_data_recipe(F.col("html")).alias("v")).where("v is not null")
+    one = lambda path: F.array(F.try_variant_get("v", path, "string"))
+    many = lambda path: F.coalesce(F.try_variant_get("v", path, "array<string>"), one(path))
+    steps = F.flatten(F.transform(many("$.recipeInstructions"), split_instructions))
+    parts = {"title": one("$.name"), "description": one("$.description"), "ingredient": many("$.recipeIngredient"), "step": steps}
+    each = data.select("page_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("texts")) for f, v in parts.items()))).alias("x"))
+    rows = each.select("page_id", "x.field", F.posexplode("x.texts").alias("pos", "text"))
+    return rows.select("page_id", "field", "pos", F.regexp_replace(strip("text"), r"[\s\p{Z}]+", " ").alias("text")).where("text <> ''")
+
+
+def page_fields(pages: DataFrame, layouts: list[dict[str, str]]) -> DataFrame:
+    """(page_id, field, pos, text) of (page_id, html): each field by the first layout (class -> field) that finds it on the
+    page, else from linked data. Null pages and pages without any field give no row."""
+    found = [fields_by_class(pages, layout).withColumn("way", F.lit(i)) for i, layout in enumerate(layouts)]
+    rows = linked_fields(pages).withColumn("way", F.lit(len(layouts)))
+    for f in found:
+        rows = rows.unionByName(f)
+    best = rows.groupBy("page_id", "field").agg(F.min("way").alias("way"))
+    return rows.join(best, ["page_id", "field", "way"]).select("page_id", "field", "pos", "text")

@@ -94,3 +94,17 @@ def test_lists_of_addresses_may_be_gzipped(spark, tmp_path):
     (tmp_path / "2.xml").write_text(xml.replace("1/", "2/"))
     got = sitemap_urls(read_sitemaps(spark, str(tmp_path))).collect()
     assert sorted(r.url for r in got) == ["https://a.example/recipe/1/", "https://a.example/recipe/2/"]
+
+
+def test_fields_by_layout_or_linked_data(spark):
+    import json
+
+    from stockpot.sources.pages import page_fields
+
+    data = {"@type": "Recipe", "name": "L", "recipeIngredient": ["a", " b  c "], "recipeInstructions": "1.cut,2.fry"}
+    script = f'<script type="application/ld+json">{json.dumps([{"@type": "Person"}, data])}</script>'
+    pages = [(1, '<h1 class="t">Desk <b>top</b></h1><p class="m-t">no</p>' + script), (2, '<p class="m-t">Mobile</p>'), (3, "<p>nothing</p>" + script), (4, None), (5, "<script type='application/ld+json'>{broken</script>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = sorted(tuple(r) for r in page_fields(df, [{"t": "title"}, {"m-t": "title"}]).collect())
+    rest = [("ingredient", 0, "a"), ("ingredient", 1, "b c"), ("step", 0, "cut"), ("step", 1, "fry")]
+    assert got == sorted([(1, "title", 0, "Desk top"), (2, "title", 0, "Mobile"), (3, "title", 0, "L")] + [(p, *r) for p in (1, 3) for r in rest])
