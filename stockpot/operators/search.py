@@ -334,6 +334,8 @@ def branch_states(queries: DataFrame, hits: DataFrame, known: DataFrame, vectors
 
 def fuse(keyword: DataFrame, vector: DataFrame, top_k: int, k: float = 60, weight: float = 0.5) -> DataFrame:
     """(query_id, doc_id, score, rank) from keyword ranks (query_id, doc_id, rank) and vector scores; a missing side is 0."""
+    if not (k > 0 and 0 <= weight <= 1 and top_k > 0):
+        raise ValueError("k and top_k are positive, and a weight is between 0 and 1")
     a = keyword.select("query_id", "doc_id", (F.lit(weight) / (F.lit(k) + F.col("rank"))).alias("keyword_score"))
     both = a.join(vector, ["query_id", "doc_id"], "full_outer")
     total = F.coalesce("keyword_score", F.lit(0.0)) + F.coalesce("vector_score", F.lit(0.0))
