@@ -262,6 +262,12 @@ SQL = {
         UNION ALL SELECT 'recipe_tags', count(*) FROM recipe_tags WHERE recipe_id NOT IN (SELECT * FROM gone)
         UNION ALL SELECT 'user_feedback', count(*) FROM user_feedback WHERE recipe_id NOT IN (SELECT * FROM gone)""",
     "recipe_units": f"WITH {_UNITS} SELECT * FROM units",
+    "recipe_chunks": f"""WITH RECURSIVE {_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM units),
+        f AS (SELECT id, n, 0 AS chunk, unit_type, step AS step_start, step AS step_end, text FROM o WHERE n = 1
+              UNION ALL SELECT id, n, chunk + CAST(NOT fits AS INT), unit_type, CASE WHEN fits THEN step_start ELSE step END, CASE WHEN fits THEN coalesce(step, step_end) ELSE step END,
+                               CASE WHEN fits THEN before || chr(10) || chr(10) || text ELSE text END
+              FROM (SELECT o.*, f.chunk, f.step_start, f.step_end, f.text AS before, o.unit_type = f.unit_type AND length(f.text) + length(o.text) <= 500 AS fits FROM f JOIN o ON o.id = f.id AND o.n = f.n + 1))
+        SELECT id, chunk, arg_max(unit_type, n) AS unit_type, arg_max_null(step_start, n) AS step_start, arg_max_null(step_end, n) AS step_end, arg_max(text, n) AS text FROM f GROUP BY 1, 2""",
     "recipe_documents": f"WITH {_UNITS} SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM units GROUP BY 1",
     "split_instructions": f"""WITH s AS (SELECT id, i - 1 AS pos, regexp_replace({_SPACED}, '{Q._STRIP}', '', 'g') AS t FROM (SELECT id, unnest(range(1, len(steps) + 1)) AS i, steps FROM recipes)),
         m AS (SELECT id, pos, regexp_replace(regexp_replace(t, '{_NUMBERED}', '\\1,\\2', 'g'), '{_NUMBERED}', '\\1,\\2', 'g') AS t FROM s),
