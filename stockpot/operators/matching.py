@@ -49,7 +49,9 @@ def missing_items(candidates: DataFrame, items: DataFrame, available: DataFrame)
 def exclude_tagged(candidates: DataFrame, recipe_tags: DataFrame, tags: DataFrame, excluded: DataFrame) -> DataFrame:
     """``candidates`` (query_id, recipe_id) without those that have a tag named in ``excluded`` (query_id, tag)."""
     named = excluded.join(bounded_broadcast(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), 10_000), "tag").select("query_id", "tag_id")
-    hit = recipe_tags.select("recipe_id", "tag_id").distinct().join(bounded_broadcast(named), "tag_id").select("query_id", "recipe_id").distinct()
+    # from the candidates on: what each query excludes, over all recipes, would be queries x recipes
+    worn = candidates.select("query_id", "recipe_id").distinct().join(recipe_tags.select("recipe_id", "tag_id"), "recipe_id")
+    hit = worn.join(named, ["query_id", "tag_id"], "left_semi").select("query_id", "recipe_id").distinct()
     return candidates.join(hit, ["query_id", "recipe_id"], "left_anti")
 
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, tokens
-from ..runtime import bounded_broadcast, spread, written
+from ..runtime import bounded_broadcast, drop_path, new_path, spread, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+_WORD_LETTERS = np.array([c for c in range(128) if chr(c).isalnum()])
 INDEX_VERSION = 3
 
 
@@ -32,10 +32,11 @@ def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, re
     """
     terms = F.concat(F.array("name"), F.filter(F.coalesce("aliases", F.array()), lambda a: a.isNotNull() & (a != "")))
     named = bounded_broadcast(dictionary.select(F.col("id").alias("ingredient_id"), F.array_join(terms, " ").alias("words")), 10_000)
-    used = bridge.select("recipe_id", "ingredient_id").distinct().join(named, "ingredient_id")
+    # by recipe before anything else, so that what follows needs no further shuffle
+    used = bridge.select("recipe_id", "ingredient_id").repartition("recipe_id").distinct().join(named, "ingredient_id")
     used = used.groupBy("recipe_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ingredient_id", "words"))), lambda x: x["words"]), " ").alias("w"))
     labels = bounded_broadcast(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")), 10_000)
-    tagged = recipe_tags.select("recipe_id", "tag_id").distinct().join(labels, "tag_id")
+    tagged = recipe_tags.select("recipe_id", "tag_id").repartition("recipe_id").distinct().join(labels, "tag_id")
     tagged = tagged.groupBy("recipe_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tag_id", "tag"))), lambda x: x["tag"]), " ").alias("t"))
     full = recipes.select(F.col("id").alias("recipe_id"), "title", "description").join(used, "recipe_id", "left").join(tagged, "recipe_id", "left")
     parts = [F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "w", "t")]
@@ -57,36 +58,79 @@ class TextIndex:
         return each.select("p.terms", "doc_id", "dl", "p.tfs").toDF("term", "doc_id", "dl", "tf")
 
 
+def count_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(dl, offsets, terms, tfs) of ``texts``: their :func:`tokens`, counted over a whole lot of texts at once."""
+    joined = "\n".join([t or "" for t in texts])
+    cp = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])[: len(cp)]
+
+    def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+    han = (cp >= 0x4E00) & (cp <= 0x9FFF)
+    pair = np.flatnonzero(han[:-1] & han[1:])
+    first, last = runs(han)
+    single = first[last - first == 1]
+    first, last = runs((cp < 128) & np.isin(cp, _WORD_LETTERS))
+    words = pa.array([joined[x:y].lower() for x, y in zip(first.tolist(), last.tolist())], pa.string()).dictionary_encode()
+    # a pair by both letters, a single one by its own, and words beyond these
+    code = np.concatenate([cp[pair] << 16 | cp[pair + 1], cp[single] << 16, (1 << 32) + words.indices.to_numpy().astype(np.int64)])
+    doc = doc[np.concatenate([pair, single, first])]
+    known, code = np.unique(code, return_inverse=True)
+    cell, tfs = np.unique(doc * len(known) + code, return_counts=True)
+    own, held = known[known < 1 << 32], words.dictionary.to_pylist()
+    names = [chr(c >> 16) + (chr(c & 0xFFFF) if c & 0xFFFF else "") for c in own.tolist()] + [held[c - (1 << 32)] for c in known[len(own) :].tolist()]
+    off = np.searchsorted(cell, np.arange(len(texts) + 1) * len(known)).astype(np.int32)
+    return np.bincount(doc, minlength=len(texts)), off, pa.array(names, pa.string()).take(pa.array(cell % max(1, len(known)))), tfs
+
+
 def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toks) -> (doc_id, dl, terms, tfs)"""
+    """(doc_id, text) -> (doc_id, dl, terms, tfs)"""
+    for whole in batches:
+        for b in (whole.slice(at, 4_000) for at in range(0, len(whole), 4_000)):
+            dl, off, terms, tfs = count_terms(b.column("text").to_pylist())
+            lists = [pa.ListArray.from_arrays(off, x) for x in (terms, pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dl, pa.int32()), *lists], ["doc_id", "dl", "terms", "tfs"])
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(terms) -> (term, df), each term once for a batch."""
     for b in batches:
-        counts = [Counter(t) for t in b.column("toks").to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
-        terms, tfs = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())
-        dl = pa.array([sum(c.values()) for c in counts], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), dl, pa.ListArray.from_arrays(off, terms), pa.ListArray.from_arrays(off, tfs)], ["doc_id", "dl", "terms", "tfs"])
+        counts = b.column("terms").flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["term", "df"])
 
 
 def _statistics(forward: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term_stats, totals); a negative idf becomes a quarter of the mean idf of all terms."""
     totals = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n")))
+    df = forward.select("terms").mapInArrow(_term_rows, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(totals.select("n")))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), totals
 
 
-def build_index(docs: DataFrame) -> TextIndex:
-    """Okapi statistics of (doc_id, text). Texts are tokenised once, where they are read; only counts of terms are shuffled.
+def build_index(docs: DataFrame, path: str | None = None) -> TextIndex:
+    """Okapi statistics of (doc_id, text), below ``path`` if given. Texts are tokenised once; only counts of terms are shuffled.
 
     Null texts are documents without tokens.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    toks = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("toks"))
-    forward = written(toks.mapInArrow(_counted_terms, f"doc_id {kind}, dl int, terms array<string>, tfs array<int>"), "forward-index")
+    kind, spark = dict(docs.dtypes)["doc_id"], docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        place = f"{path}/{name}" if path else new_path(spark, name)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    # written first, since to count the partitions of what is derived runs all that it is derived from
+    texts = new_path(spark, "texts")
+    docs.select("doc_id", "text").write.option("compression", "zstd").parquet(texts)
+    read = spread(spark.read.schema(docs.select("doc_id", "text").schema).parquet(texts))
+    forward = kept(read.mapInArrow(_counted_terms, f"doc_id {kind}, dl int, terms array<string>, tfs array<int>"), "forward")
+    drop_path(spark, texts)
     stats, totals = _statistics(forward)
-    return TextIndex(forward, written(stats, "term-stats"), written(totals, "totals"))
+    return TextIndex(forward, kept(stats, "term_stats"), kept(totals, "totals"))
 
 
 _TABLES = ("forward", "term_stats", "totals")
@@ -96,7 +140,10 @@ def save_index(index: TextIndex, path: str, fingerprint: str) -> None:
     """Write the tables and, last, the manifest that makes them count."""
     for name in _TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = index.totals.sparkSession
+    _mark_index(index.totals.sparkSession, path, fingerprint)
+
+
+def _mark_index(spark: SparkSession, path: str, fingerprint: str) -> None:
     row = json.dumps({"version": INDEX_VERSION, "fingerprint": fingerprint})
     spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -130,7 +177,8 @@ def refreshed_index(path: str, inputs: tuple[DataFrame, ...], docs: Callable[[],
     place = f"{path}/{hashlib.md5(mark.encode()).hexdigest()}"
     found = load_index(spark, place, mark)
     if found is None:
-        save_index(build_index(docs()), place, mark)
+        build_index(docs(), place)
+        _mark_index(spark, place, mark)
         found = load_index(spark, place, mark)
     assert found is not None
     return found
@@ -164,6 +212,59 @@ class _Best:
         self.edge[self.query[last]] = self.key[last]
 
 
+def _lots(batches: Iterator[pa.RecordBatch], known: pa.Array, avgdl: float, most: int = 65_536, most_parts: int = 6_000_000) -> Iterator[tuple[np.ndarray, tuple]]:
+    """Lots of about ``most`` documents: their ids, and for the ``known`` terms (starts, documents, parts of the score)."""
+    kept: list[tuple] = []
+    docs = parts = 0
+
+    def lot() -> tuple[np.ndarray, tuple]:
+        ids, at, doc, part = (np.concatenate(x) for x in zip(*kept))
+        kept.clear()
+        order = np.argsort(at, kind="stable")
+        return ids, (np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))]).tolist(), doc[order], part[order])
+
+    for whole in batches:
+        for b in (whole.slice(x, 4_000) for x in range(0, len(whole), 4_000)):
+            doc = np.repeat(np.arange(docs, docs + len(b), dtype=np.int32), b.column("terms").value_lengths().to_numpy())
+            at = pa.compute.fill_null(pa.compute.index_in(b.column("terms").flatten(), known), -1).to_numpy()
+            hit = np.flatnonzero(at >= 0)
+            doc, tf, dl = doc[hit], b.column("tfs").flatten().to_numpy()[hit].astype(float), b.column("dl").to_numpy()
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc - docs] / avgdl))
+            kept.append((np.array(b.column("doc_id").to_pylist()), at[hit], doc, part))
+            docs, parts = docs + len(b), parts + len(hit)
+            if docs >= most or parts >= most_parts:
+                yield lot()
+                docs = parts = 0
+    if kept:
+        yield lot()
+
+
+def _scored(lists: tuple, docs: int, start: list[int], term: list[int], weight: list[float], best: _Best, k: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, score, document): the documents of a lot that can be among the best ``k`` of a query, ``most`` rows and more at a time."""
+    first, doc, part = lists
+    total, found, rows = np.zeros(docs), [], 0
+    for q in range(len(start) - 1):
+        for t, w in zip(term[start[q] : start[q + 1]], weight[start[q] : start[q + 1]]):
+            if first[t] < first[t + 1]:
+                total[doc[first[t] : first[t + 1]]] += w * part[first[t] : first[t + 1]]
+        # by a digit less than the key, of which the best decides
+        least = max(0, int(best.edge[q]) - 2) / 1e9
+        at = np.flatnonzero(total > least)
+        score = total[at]
+        total.fill(0)
+        if len(at) > k:
+            good = score >= np.partition(score, len(at) - k)[len(at) - k] - 2e-9
+            at, score = at[good], score[good]
+        if len(at):
+            found.append((np.full(len(at), q), score, at))
+            rows += len(at)
+        if rows >= most:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+            found, rows = [], 0
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _blocks(queries: DataFrame, most: int) -> Iterator[pa.Table]:
     """The rows of ``queries`` (query_id first) in blocks of about ``most``, a query whole; each is sent to all tasks."""
     count = queries.count()
@@ -185,9 +286,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def bm25_best(index: TextIndex, queries: DataFrame, k: int, most_terms: int = 200_000) -> DataFrame:
     """(query_id, doc_id, score): at least the best ``k`` documents of each query, those of each task; scores above 0.
 
-    The weighted terms of the queries go to the tasks in blocks of bounded size; a task adds up the scores of its
-    documents and gives its own best ``k`` only, so that what is shuffled is queries x k for each task. A token given
-    twice counts twice.
+    The weighted terms of the queries go to the tasks in blocks of bounded size. A task turns its documents, lot by lot,
+    into lists by term, adds up the lists of each query's terms, and gives its own best ``k`` only, so that what is
+    shuffled is queries x k for each task. A token given twice counts twice.
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = written(asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")), "query-terms")
@@ -198,27 +299,15 @@ def bm25_best(index: TextIndex, queries: DataFrame, k: int, most_terms: int = 20
     for block in _blocks(weights, most_terms):
         ids, query = np.unique(np.array(block.column("query_id").to_pylist(), object), return_inverse=True)
         terms, term = np.unique(np.array(block.column("term").to_pylist(), object), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        sent = spark.sparkContext.broadcast((ids, terms, np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]), query[order], block.column("w").to_numpy()[order]))
+        order = np.lexsort((term, query))
+        sent = spark.sparkContext.broadcast((ids, terms, np.concatenate([[0], np.cumsum(np.bincount(query, minlength=len(ids)))]), term[order], block.column("w").to_numpy()[order]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, terms, start, query, weight = sent.value
-            known, best = pa.array(terms.tolist(), pa.string()), _Best(len(ids), k)
-            lot = max(1, min(1_000, 2_000_000 // len(ids)))
-            for whole in batches:
-                for b in (whole.slice(at, lot) for at in range(0, len(whole), lot)):
-                    words, off = b.column("terms").flatten(), b.column("terms").offsets.to_numpy()
-                    doc = np.repeat(np.arange(len(b)), np.diff(off))
-                    tf, dl = b.column("tfs").flatten().to_numpy().astype(float), b.column("dl").to_numpy()[doc]
-                    at = pa.compute.fill_null(pa.compute.index_in(words, known), -1).to_numpy()
-                    hit = at >= 0
-                    at, doc, tf, dl = at[hit], doc[hit], tf[hit], dl[hit]
-                    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-                    many = start[at + 1] - start[at]
-                    places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.empty(0, np.int64)
-                    score = np.bincount(query[places] * len(b) + np.repeat(doc, many), weights=weight[places] * np.repeat(part, many), minlength=1)
-                    cell = np.flatnonzero(score > 0)
-                    best.add(cell // len(b), score[cell], np.array(b.column("doc_id").to_pylist())[cell % len(b)])
+            ids, terms, start, term, weight = sent.value
+            best = _Best(len(ids), k)
+            for docs, lists in _lots(batches, pa.array(terms.tolist(), pa.string()), avgdl):
+                for query, score, doc in _scored(lists, len(docs), start.tolist(), term.tolist(), weight.tolist(), best, k):
+                    best.add(query, score, docs[doc])
             if len(best.query):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[best.query].tolist()), pa.array(best.ident.tolist()), pa.array(best.rest["score"])], ["query_id", "doc_id", "score"])
 

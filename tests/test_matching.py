@@ -84,3 +84,27 @@ def test_autocomplete(spark):
     near = spark.createDataFrame([("土", 1, 1), ("土", 4, 2)], "q string, id long, pos int")
     filled = M.autocomplete_topup(found.select("q", "id", "pos"), near, 2).where("q = '土'").orderBy("place").collect()
     assert [(r.id, r.tier) for r in filled] == [(1, 0), (4, 1)]
+
+
+def test_exclusion_follows_the_candidates(spark):
+    """What is excluded is looked for among the candidates, not for every query over all recipes with the tag."""
+    queries = recipes = 300
+    tags = spark.createDataFrame([(1, "nuts"), (2, "milk")], "id long, name string")
+    worn = spark.createDataFrame([(i, 1 + i % 2) for i in range(recipes)] * 2, "recipe_id long, tag_id long")
+    excluded = spark.createDataFrame([(q, "nuts") for q in range(queries)] + [(0, "milk"), (0, "nuts")], "query_id long, tag string")
+    candidates = spark.createDataFrame([(q, (q + d) % recipes) for q in range(queries) for d in range(3)], "query_id long, recipe_id long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = M.exclude_tagged(candidates, worn, tags, excluded)
+        got = {tuple(r) for r in out.collect()}
+
+        def most(p):
+            own = p.metrics().apply("numOutputRows").value() if p.metrics().contains("numOutputRows") else 0
+            return max([own, *(most(p.children().apply(i)) for i in range(p.children().size()))])
+
+        rows = most(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == {(q, (q + d) % recipes) for q in range(1, queries) for d in range(3) if (q + d) % recipes % 2}
+    assert 0 < rows < queries * 3 * 3

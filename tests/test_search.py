@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from stockpot.functions import text as X
 from stockpot.operators import search as S
 
 
@@ -134,3 +136,44 @@ def test_vector_upkeep(spark):
     assert S.delete_vectors(old, new.select("chunk_id")).count() == 1
     assert S.delete_vectors(old, where=F.col("doc_id") == 1).count() == 0
     assert S.one_dimension(old).first().ok
+
+
+def test_terms_are_counted_as_the_tokens(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("土豆鸡蛋丝一鿿䷿ꀀaBz09 _\n\t,é１ÅİK😀") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", "土", "土\n豆", "土豆", "A", "a1B2", "土a豆", "\n\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", X.tokens("text").alias("t")).collect()
+    want = {r.id: Counter(r.t) for r in rows}
+    dl, off, terms, tfs = S.count_terms(texts)
+    terms = terms.to_pylist()
+    got = {i: dict(zip(terms[off[i] : off[i + 1]], tfs[off[i] : off[i + 1]].tolist())) for i in range(len(texts))}
+    assert got == want and dl.tolist() == [sum(want[i].values()) for i in range(len(texts))]
+    assert all(len(x) == 0 for x in S.count_terms([None, "", " "])[2:])
+
+
+def test_texts_are_derived_once(spark):
+    """Building an index runs what gives the texts once, not again to count its partitions."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    docs = spark.range(50).repartition(3, "id").selectExpr("id AS doc_id", "concat('w', id) AS text").mapInArrow(told, "doc_id long, text string")
+    index = S.build_index(docs.groupBy("doc_id").agg(F.first("text").alias("text")))
+    assert index.totals.first().n == 50 and runs.value == 50
+
+
+def test_lots_of_a_task_are_scored_together():
+    """What lies in different lots of documents competes for the same places, and ties go by id."""
+    known = pa.array(["a", "b"])
+    docs = [(i, 4, ["a", "x"] if i % 3 else ["b", "a"], [1 + i % 2, 1]) for i in range(40)]
+    rows = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "dl", "terms", "tfs"), d)) for d in reversed(docs)], pa.schema([("doc_id", pa.int64()), ("dl", pa.int32()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))]))
+    part = lambda tf: tf * 2.5 / (tf + 1.5)
+    want = sorted(((sum(w * part(n) for t, n in zip(ts, ns) for u, w in (("a", 1.0), ("b", 0.5)) if t == u), i) for i, _, ts, ns in docs), key=lambda x: (-round(x[0], 9), x[1]))[:7]
+    for most in (3, 1_000):
+        best = S._Best(1, 7)
+        for ids, lists in S._lots(iter([rows.slice(at, 10) for at in range(0, 40, 10)]), known, 4.0, most):
+            for q, score, at in S._scored(lists, len(ids), [0, 2], [0, 1], [1.0, 0.5], best, 7):
+                best.add(q, score, ids[at])
+        assert best.ident.tolist() == [i for _, i in want]
