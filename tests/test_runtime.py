@@ -17,6 +17,17 @@ def test_bounds_of_a_broadcast(spark):
     assert R.small_enough(nulls, 1, most=100)
 
 
+def test_tables_to_drop_are_noted(spark):
+    made = []
+    R.written(spark.range(3), "some", made=made)
+    assert len(made) == 1 and os.path.isdir(made[0].removeprefix("file://"))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with pytest.raises(ZeroDivisionError), R.shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+        1 / 0
+    assert spark.conf.get(key) == "false"
+
+
 def test_written_tables_are_dropped(spark):
     df = R.written(spark.range(5), "some")
     assert df.count() == 5
