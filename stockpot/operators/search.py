@@ -18,11 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, tokens
-from ..runtime import bounded_broadcast, drop_path, new_path, spread, written
+from ..runtime import bounded_broadcast, drop_path, new_path, short_batches, spread, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 _WORD_LETTERS = np.array([c for c in range(128) if chr(c).isalnum()])
-INDEX_VERSION = 3
+INDEX_VERSION = 4
+#: Row groups of 8 MB about, that a reader, which takes one at a time, holds few of the long rows of ``forward``.
+_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
+#: A term that more than one in so many documents of a lot have is common; at most so many get a column.
+COMMON, COLUMNS = 32, 128
 
 
 def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, recipe_tags: DataFrame, tags: DataFrame) -> DataFrame:
@@ -45,7 +49,12 @@ def corpus_text(recipes: DataFrame, bridge: DataFrame, dictionary: DataFrame, re
 
 @dataclass(frozen=True)
 class TextIndex:
-    """forward (doc_id, dl, terms, tfs), term_stats (term, df, idf), totals (n, avgdl) of one row."""
+    """forward (docs, dls, sizes, known, terms, tfs), term_stats (term, df, idf), totals (n, avgdl) of one row.
+
+    A row of ``forward`` is a lot of documents, so that a term is written once for the lot: ``docs`` and ``dls`` are their
+    ids and lengths, ``sizes`` how many terms each has, ``terms`` the places of these in ``known``, and ``tfs`` how often
+    each occurs.
+    """
 
     forward: DataFrame
     term_stats: DataFrame
@@ -54,11 +63,11 @@ class TextIndex:
     @property
     def postings(self) -> DataFrame:
         """(term, doc_id, dl, tf)"""
-        each = self.forward.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-        return each.select("p.terms", "doc_id", "dl", "p.tfs").toDF("term", "doc_id", "dl", "tf")
+        kind = self.forward.schema["docs"].dataType.elementType.simpleString()
+        return self.forward.mapInArrow(_posting_rows, f"term string, doc_id {kind}, dl int, tf int")
 
 
-def count_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+def count_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
     """(dl, offsets, terms, tfs) of ``texts``: their :func:`tokens`, counted over a whole lot of texts at once."""
     joined = "\n".join([t or "" for t in texts])
     cp = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -82,29 +91,39 @@ def count_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Arr
     own, held = known[known < 1 << 32], words.dictionary.to_pylist()
     names = [chr(c >> 16) + (chr(c & 0xFFFF) if c & 0xFFFF else "") for c in own.tolist()] + [held[c - (1 << 32)] for c in known[len(own) :].tolist()]
     off = np.searchsorted(cell, np.arange(len(texts) + 1) * len(known)).astype(np.int32)
-    return np.bincount(doc, minlength=len(texts)), off, pa.array(names, pa.string()).take(pa.array(cell % max(1, len(known)))), tfs
+    terms = pa.DictionaryArray.from_arrays(pa.array(cell % max(1, len(known)), pa.int32()), pa.array(names, pa.string()))
+    return np.bincount(doc, minlength=len(texts)), off, terms, tfs
 
 
 def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, dl, terms, tfs)"""
+    """(doc_id, text) -> a row of ``forward`` for each 4,000."""
     for whole in batches:
         for b in (whole.slice(at, 4_000) for at in range(0, len(whole), 4_000)):
             dl, off, terms, tfs = count_terms(b.column("text").to_pylist())
-            lists = [pa.ListArray.from_arrays(off, x) for x in (terms, pa.array(tfs, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(dl, pa.int32()), *lists], ["doc_id", "dl", "terms", "tfs"])
+            cols = [b.column("doc_id"), pa.array(dl, pa.int32()), pa.array(np.diff(off), pa.int32()), terms.dictionary, terms.indices, pa.array(tfs, pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in cols], ["docs", "dls", "sizes", "known", "terms", "tfs"])
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(terms) -> (term, df), each term once for a batch."""
+    """(known, terms) -> (term, df), each term once for a lot."""
+    for b in batches:
+        for known, terms in zip(b.column("known"), b.column("terms")):
+            df = np.bincount(terms.values.to_numpy(), minlength=len(known.values))
+            yield pa.RecordBatch.from_arrays([known.values, pa.array(df, pa.int64())], ["term", "df"])
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = b.column("terms").flatten().value_counts()
-        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["term", "df"])
+        for x in range(len(b)):
+            docs, dls, sizes, known, terms, tfs = (b.column(c)[x].values for c in ("docs", "dls", "sizes", "known", "terms", "tfs"))
+            at = pa.array(np.repeat(np.arange(len(docs)), sizes.to_numpy()))
+            yield pa.RecordBatch.from_arrays([known.take(terms), docs.take(at), dls.take(at), tfs], ["term", "doc_id", "dl", "tf"])
 
 
 def _statistics(forward: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term_stats, totals); a negative idf becomes a quarter of the mean idf of all terms."""
-    totals = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = forward.select("terms").mapInArrow(_term_rows, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(totals.select("n")))
+    totals = forward.select(F.explode("dls").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = forward.select("known", "terms").mapInArrow(_term_rows, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).crossJoin(F.broadcast(totals.select("n")))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
@@ -120,17 +139,18 @@ def build_index(docs: DataFrame, path: str | None = None) -> TextIndex:
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         place = f"{path}/{name}" if path else new_path(spark, name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(place)
+        df.write.mode("overwrite").option("compression", "zstd").options(**_GROUPS).parquet(place)
         return spark.read.schema(df.schema).parquet(place)
 
     # written first, since to count the partitions of what is derived runs all that it is derived from
     texts = new_path(spark, "texts")
     docs.select("doc_id", "text").write.option("compression", "zstd").parquet(texts)
     read = spread(spark.read.schema(docs.select("doc_id", "text").schema).parquet(texts))
-    forward = kept(read.mapInArrow(_counted_terms, f"doc_id {kind}, dl int, terms array<string>, tfs array<int>"), "forward")
+    forward = kept(read.mapInArrow(_counted_terms, f"docs array<{kind}>, dls array<int>, sizes array<int>, known array<string>, terms array<int>, tfs array<int>"), "forward")
     drop_path(spark, texts)
     stats, totals = _statistics(forward)
-    return TextIndex(forward, kept(stats, "term_stats"), kept(totals, "totals"))
+    with short_batches(spark):
+        return TextIndex(forward, kept(stats, "term_stats"), kept(totals, "totals"))
 
 
 _TABLES = ("forward", "term_stats", "totals")
@@ -139,7 +159,7 @@ _TABLES = ("forward", "term_stats", "totals")
 def save_index(index: TextIndex, path: str, fingerprint: str) -> None:
     """Write the tables and, last, the manifest that makes them count."""
     for name in _TABLES:
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        getattr(index, name).write.mode("overwrite").options(**_GROUPS).parquet(f"{path}/{name}")
     _mark_index(index.totals.sparkSession, path, fingerprint)
 
 
@@ -212,7 +232,19 @@ class _Best:
         self.edge[self.query[last]] = self.key[last]
 
 
-def _lots(batches: Iterator[pa.RecordBatch], known: pa.Array, avgdl: float, most: int = 65_536, most_parts: int = 6_000_000) -> Iterator[tuple[np.ndarray, tuple]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns of each row of ``forward``; documents that stand by themselves (doc_id, dl, terms, tfs) are put together."""
+    for whole in batches:
+        if "known" in whole.schema.names:
+            for x in range(len(whole)):
+                yield tuple(whole.column(c)[x].values for c in ("docs", "dls", "sizes", "known", "terms", "tfs"))
+            continue
+        for b in (whole.slice(x, 4_000) for x in range(0, len(whole), 4_000)):
+            terms = b.column("terms").flatten().dictionary_encode()
+            yield b.column("doc_id"), b.column("dl"), b.column("terms").value_lengths(), terms.dictionary, terms.indices, b.column("tfs").flatten()
+
+
+def _lots(batches: Iterator[pa.RecordBatch], known: pa.Array, avgdl: float, most: int = 65_536, most_parts: int = 4_000_000) -> Iterator[tuple[np.ndarray, tuple]]:
     """Lots of about ``most`` documents: their ids, and for the ``known`` terms (starts, documents, parts of the score)."""
     kept: list[tuple] = []
     docs = parts = 0
@@ -221,37 +253,82 @@ def _lots(batches: Iterator[pa.RecordBatch], known: pa.Array, avgdl: float, most
         ids, at, doc, part = (np.concatenate(x) for x in zip(*kept))
         kept.clear()
         order = np.argsort(at, kind="stable")
-        return ids, (np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))]).tolist(), doc[order], part[order])
-
-    for whole in batches:
-        for b in (whole.slice(x, 4_000) for x in range(0, len(whole), 4_000)):
-            doc = np.repeat(np.arange(docs, docs + len(b), dtype=np.int32), b.column("terms").value_lengths().to_numpy())
-            at = pa.compute.fill_null(pa.compute.index_in(b.column("terms").flatten(), known), -1).to_numpy()
-            hit = np.flatnonzero(at >= 0)
-            doc, tf, dl = doc[hit], b.column("tfs").flatten().to_numpy()[hit].astype(float), b.column("dl").to_numpy()
-            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc - docs] / avgdl))
-            kept.append((np.array(b.column("doc_id").to_pylist()), at[hit], doc, part))
-            docs, parts = docs + len(b), parts + len(hit)
-            if docs >= most or parts >= most_parts:
-                yield lot()
-                docs = parts = 0
+        return ids, (np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))]).tolist(), doc[order].astype(np.int64), part[order])
+
+    for own, dls, sizes, names, terms, tfs in _pieces(batches):
+        place = pa.compute.fill_null(pa.compute.index_in(names, known), -1).to_numpy()
+        at = place[terms.to_numpy()]
+        hit = np.flatnonzero(at >= 0)
+        doc = np.repeat(np.arange(len(own)), sizes.to_numpy())[hit]
+        tf, dl = tfs.to_numpy()[hit].astype(float), dls.to_numpy()
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+        # short numbers are sorted by their digits
+        kept.append((np.array(own.to_pylist()), at[hit].astype(np.uint16 if len(known) < 1 << 16 else np.int32), (docs + doc).astype(np.int32), part))
+        docs, parts = docs + len(own), parts + len(hit)
+        if docs >= most or parts >= most_parts:
+            yield lot()
+            docs = parts = 0
     if kept:
         yield lot()
 
 
 def _scored(lists: tuple, docs: int, start: list[int], term: list[int], weight: list[float], best: _Best, k: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, score, document): the documents of a lot that can be among the best ``k`` of a query, ``most`` rows and more at a time."""
+    """(query, score, document): the documents of a lot that can be among the best ``k`` of a query, ``most`` rows and more at a time.
+
+    Terms that many documents have weigh little. What they can add at most says which documents can still come in by the
+    other terms, and only for these they are looked up, in a column over all documents.
+    """
     first, doc, part = lists
-    total, found, rows = np.zeros(docs), [], 0
+    columns: dict[int, tuple[np.ndarray, float]] = {}
+    sizes = np.diff(first)
+    for t in np.argsort(-sizes, kind="stable")[:COLUMNS].tolist():
+        if sizes[t] > docs // COMMON:
+            at = slice(first[t], first[t + 1])
+            columns[t] = np.zeros(docs), float(part[at].max())
+            columns[t][0][doc[at]] = part[at]
+    total, mark, count = np.zeros(docs), np.empty(docs, np.int64), np.arange(len(doc))
+    found, rows = [], 0
+
+    def whole(at: np.ndarray, late: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Each of the documents once, and its score with the late terms."""
+        mark[at] = count[: len(at)]
+        at = at[mark[at] == count[: len(at)]]
+        score = total[at]
+        for _, t, w in late:
+            score += w * columns[t][0][at]
+        return at, score
+
     for q in range(len(start) - 1):
+        late, near = [], []
         for t, w in zip(term[start[q] : start[q + 1]], weight[start[q] : start[q + 1]]):
-            if first[t] < first[t + 1]:
-                total[doc[first[t] : first[t + 1]]] += w * part[first[t] : first[t + 1]]
+            if t in columns:
+                late.append((w * columns[t][1], t, w))
+            elif first[t] < first[t + 1]:
+                at = doc[first[t] : first[t + 1]]
+                total[at] += w * part[first[t] : first[t + 1]]
+                near.append(at)
         # by a digit less than the key, of which the best decides
         least = max(0, int(best.edge[q]) - 2) / 1e9
-        at = np.flatnonzero(total > least)
-        score = total[at]
-        total.fill(0)
+        held = near[0] if len(near) == 1 else np.concatenate(near) if near else doc[:0]
+        if late and not least and len(held) > (n := k * len(near)):
+            # a document stands there once for each of its terms, so these are k different ones at least
+            score = whole(held[np.argpartition(total[held], len(held) - n)[len(held) - n :]], late)[1]
+            least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k]) - 2e-9)
+        late.sort()
+        more = sum(max(0.0, x[0]) for x in late)
+        if more > least:
+            # documents with none of the terms so far can come in
+            while late and more > least:
+                _, t, w = late.pop()
+                at = doc[first[t] : first[t + 1]]
+                total[at] += w * part[first[t] : first[t + 1]]
+                near.append(at)
+                more = sum(max(0.0, x[0]) for x in late)
+            held = np.concatenate(near)
+        at, score = whole(held[total[held] > least - more], late)
+        total[held] = 0
+        good = score > least
+        at, score = at[good], score[good]
         if len(at) > k:
             good = score >= np.partition(score, len(at) - k)[len(at) - k] - 2e-9
             at, score = at[good], score[good]
@@ -292,10 +369,11 @@ def bm25_best(index: TextIndex, queries: DataFrame, k: int, most_terms: int = 20
     """
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = written(asked.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")), "query-terms")
-    kinds = dict(index.forward.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+    kind = index.forward.schema["docs"].dataType.elementType.simpleString()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kind}, score double"
     avgdl = index.totals.first().avgdl or 1.0
     spark, parts = index.forward.sparkSession, []
+    forward = spread(index.forward)
     for block in _blocks(weights, most_terms):
         ids, query = np.unique(np.array(block.column("query_id").to_pylist(), object), return_inverse=True)
         terms, term = np.unique(np.array(block.column("term").to_pylist(), object), return_inverse=True)
@@ -311,7 +389,7 @@ def bm25_best(index: TextIndex, queries: DataFrame, k: int, most_terms: int = 20
             if len(best.query):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[best.query].tolist()), pa.array(best.ident.tolist()), pa.array(best.rest["score"])], ["query_id", "doc_id", "score"])
 
-        parts.append(index.forward.mapInArrow(run, schema))
+        parts.append(forward.mapInArrow(run, schema))
     return _union(parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -323,8 +401,13 @@ def top(scored: DataFrame, k: int, score: str = "score", best_first: bool = True
 
 
 def bm25_topk(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
-    """The best documents with a positive score."""
-    return top(bm25_best(index, queries, k), k)
+    """The best documents with a positive score. Queries of the same text are searched as one."""
+    texts = queries.groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    named = written(texts.withColumn("first", F.min("query_id").over(Window.partitionBy("texts"))), "asked")
+    firsts = named.where("query_id = first").select("query_id", F.explode("texts").alias("text"))
+    with short_batches(queries.sparkSession):
+        hits = written(top(bm25_best(index, firsts, k), k).withColumnRenamed("query_id", "first"), "found")
+    return hits.join(bounded_broadcast(named.select("first", "query_id")), "first").select("query_id", "doc_id", "score", "rank")
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

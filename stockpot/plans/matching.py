@@ -189,7 +189,7 @@ def exclude_tagged(spark: SparkSession, d: str) -> DataFrame:
 def rank_lexicographic(spark: SparkSession, d: str) -> DataFrame:
     """Search, drop what has an excluded tag, and rank by what is missing."""
     c = _candidates(spark, d)
-    kept = M.exclude_tagged(c, table(spark, d, "recipe_tags"), table(spark, d, "tags"), _excluded(spark, d))
+    kept = written(M.exclude_tagged(c, table(spark, d, "recipe_tags"), table(spark, d, "tags"), _excluded(spark, d)), "kept")
     out = M.rank_candidates(kept.withColumnRenamed("score", "match"), _missing(spark, d, kept), table(spark, d, "recipes"), 5)
     return out.select("query_id", "recipe_id", "rank", "n_missing", F.round("score", 6).alias("score"))
 

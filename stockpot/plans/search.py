@@ -16,6 +16,8 @@ from ..operators import search as S
 from ..runtime import own_dir, table
 
 TOP_K, DEPTH = 10, 50
+#: The tables of the corpus, and what of them it is made of.
+CORPUS_COLUMNS = {"recipes": ("id", "title", "description"), "recipe_ingredients": ("recipe_id", "ingredient_id"), "ingredients": ("id", "name", "aliases"), "recipe_tags": ("recipe_id", "tag_id"), "tags": ("id", "name")}
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +25,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return S.corpus_text(*(table(spark, d, t) for t in ("recipes", "recipe_ingredients", "ingredients", "recipe_tags", "tags")))
+    return S.corpus_text(*(table(spark, d, t) for t in CORPUS_COLUMNS))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +34,8 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> S.TextIndex:
-    """The index of the corpus: stored below the shared folder and built anew when one of its five tables has changed."""
-    inputs = tuple(table(spark, d, t) for t in ("recipes", "recipe_ingredients", "ingredients", "recipe_tags", "tags"))
+    """The index of the corpus: stored below the shared folder and built anew when a column that it is made of has changed."""
+    inputs = tuple(table(spark, d, t).select(*cols) for t, cols in CORPUS_COLUMNS.items())
     return S.refreshed_index(f"{own_dir(spark)}/index-{hashlib.md5(d.encode()).hexdigest()}", inputs, lambda: corpus(spark, d))
 
 

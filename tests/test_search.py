@@ -177,3 +177,44 @@ def test_lots_of_a_task_are_scored_together():
             for q, score, at in S._scored(lists, len(ids), [0, 2], [0, 1], [1.0, 0.5], best, 7):
                 best.add(q, score, ids[at])
         assert best.ident.tolist() == [i for _, i in want]
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 5} v{i % 3} u") for i in range(30)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 v1"), (2, "w2"), (3, "w1 v1"), (4, None), (5, "w1"), (5, "v1")], "query_id long, text string")
+    index, asked, best = S.build_index(docs), [], S.bm25_best
+    monkeypatch.setattr(S, "bm25_best", lambda i, queries, k: asked.append(queries.select("query_id").distinct().count()) or best(i, queries, k))
+    got = {i: [(r.doc_id, round(r.score, 9)) for r in S.bm25_topk(index, q, 4).where(F.col("query_id") == i).orderBy("rank").collect()] for i in (1, 2, 3, 4, 5)}
+    want = {i: [(r.doc_id, round(r.score, 9)) for r in S.top(best(index, q, 4), 4).where(F.col("query_id") == i).orderBy("rank").collect()] for i in (1, 2, 3, 4, 5)}
+    # the two texts of query 5 are other than the one text of 1 and 3
+    assert set(asked) == {3} and got == want and got[1] and got[1] == got[3] and not got[4]
+
+
+def test_a_lot_holds_each_term_once(spark):
+    docs = spark.range(0, 60_000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), x -> concat('w', pmod(xxhash64(id, x), 500)))) AS text").coalesce(1)
+    index = S.build_index(docs)
+    lots = index.forward.selectExpr("size(docs) AS n", "size(known) AS k", "size(array_distinct(known)) AS d", "size(terms) AS t", "aggregate(sizes, 0, (a, x) -> a + x) AS s").collect()
+    assert sum(r.n for r in lots) == 60_000 and all(r.n <= 4_000 and r.k == r.d <= 500 and r.t == r.s for r in lots)
+    assert index.postings.count() == sum(r.t for r in lots) and index.term_stats.agg(F.sum("df")).first()[0] == sum(r.t for r in lots)
+
+
+def test_common_terms_are_looked_up_for_what_can_come_in():
+    """Scores are whole, with terms of many documents and of few, of positive and negative weight, over all lots."""
+    rng = np.random.default_rng(2)
+    known = [f"t{i}" for i in range(40)]
+    share = np.concatenate([np.full(6, 0.7), np.full(34, 0.03)])
+    has = rng.random((3_000, 40)) < share
+    rows = [{"doc_id": i, "dl": int(h.sum()) + 1, "terms": [known[t] for t in np.flatnonzero(h)], "tfs": [1 + (i + t) % 3 for t in np.flatnonzero(h)]} for i, h in enumerate(has)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("dl", pa.int32()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))]))
+    asked = [[0, 9, 20], [1, 2, 3], [30], [0, 1, 2, 10, 11, 12, 13, 14], [], [4, 33, 34]]
+    weight = [[0.2, 3.0, 4.0], [0.3, -0.1, 0.2], [5.0], [0.1, 0.2, -0.5, 2.0, 3.0, 4.0, 5.0, 6.0], [], [9.0, 0.1, 0.1]]
+    start = [0, *np.cumsum([len(a) for a in asked]).tolist()]
+    best = S._Best(len(asked), 20)
+    for ids, lists in S._lots(iter([batch]), pa.array(known), 6.0, 1_000):
+        for q, score, at in S._scored(lists, len(ids), start, sum(asked, []), sum(weight, []), best, 20):
+            best.add(q, score, ids[at])
+    for n, (ts, ws) in enumerate(zip(asked, weight)):
+        score = {i: s for i, r in enumerate(rows) if (s := sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * r["dl"] / 6.0)) for t, w in zip(ts, ws) for u, tf in zip(r["terms"], r["tfs"]) if u == known[t])) > 0}
+        want = sorted(score, key=lambda i: (-math.floor(score[i] * 1e9 + 0.5), i))[:20]
+        assert best.ident[best.query == n].tolist() == want
+        assert np.allclose(best.rest["score"][best.query == n], [score[i] for i in want])
