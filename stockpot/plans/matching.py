@@ -40,20 +40,22 @@ def _excluded(spark: SparkSession, d: str) -> DataFrame:
     return q.crossJoin(bounded_broadcast(table(spark, d, "tags").where("kind = 'allergen'").select(F.col("name").alias("tag")), 1_000))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, recipe_id, score, degraded, reasons): the fused candidates of each request with the state of its branches."""
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, recipe_id, score, degraded, reasons), the fused candidates of each request with the state of its branches,
+    and (query_id, degraded, reasons) of every request."""
     asked = Q.asked(spark, d)
     keyword = S.bm25_topk(Q.index(spark, d), asked, 2 * Q.DEPTH)
-    hits, known = Q.near_hits(spark, d), Q.known(spark, d)
+    hits, known = written(Q.near_hits(spark, d), "near"), Q.known(spark, d)
+    states = S.branch_states(asked, hits, known, True)
     fused = S.fuse(keyword, S.roll_up(hits, known)[0], Q.DEPTH).select("query_id", F.col("doc_id").alias("recipe_id"), "score")
     # vectors may also be asked for without a text; requests are those with one
-    return written(fused.join(S.branch_states(asked, hits, known, True), "query_id"), "fused")
+    return written(fused.join(states, "query_id"), "fused"), states
 
 
 def hybrid_states(spark: SparkSession, d: str) -> DataFrame:
     """For each request how many candidates it has, whether a branch was degraded and why."""
-    states = S.branch_states(Q.asked(spark, d), Q.near_hits(spark, d), Q.known(spark, d), True)
-    counts = _fused(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.bool_or("degraded").alias("d"))
+    fused, states = _fused(spark, d)
+    counts = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.bool_or("degraded").alias("d"))
     out = states.join(counts, "query_id", "left")
     # without candidates nothing is degraded
     return out.select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("d", F.lit(False)).alias("degraded"), "reasons")
@@ -61,7 +63,7 @@ def hybrid_states(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector search fused, without what has an excluded tag, ranked by what is missing."""
-    c = _fused(spark, d)
+    c = _fused(spark, d)[0]
     kept = M.exclude_tagged(c, table(spark, d, "recipe_tags"), table(spark, d, "tags"), _excluded(spark, d))
     out = M.rank_candidates(kept.withColumnRenamed("score", "match"), _missing(spark, d, kept), table(spark, d, "recipes"), 5)
     out = out.join(c.select("query_id", "recipe_id", "degraded"), ["query_id", "recipe_id"])

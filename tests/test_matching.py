@@ -108,3 +108,11 @@ def test_exclusion_follows_the_candidates(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert got == {(q, (q + d) % recipes) for q in range(1, queries) for d in range(3) if (q + d) % recipes % 2}
     assert 0 < rows < queries * 3 * 3
+
+
+def test_branches_are_searched_once(spark, data, monkeypatch):
+    from stockpot.plans import matching as P
+
+    asked, near = [], P.Q.near_hits
+    monkeypatch.setattr(P.Q, "near_hits", lambda s, d: asked.append(1) or near(s, d))
+    assert P.hybrid_states(spark, data).count() and len(asked) == 1
