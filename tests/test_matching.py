@@ -116,3 +116,11 @@ def test_branches_are_searched_once(spark, data, monkeypatch):
     asked, near = [], P.Q.near_hits
     monkeypatch.setattr(P.Q, "near_hits", lambda s, d: asked.append(1) or near(s, d))
     assert P.hybrid_states(spark, data).count() and len(asked) == 1
+
+
+def test_ranking_starts_from_what_is_kept(spark, data):
+    """Exclusions are joined once, not for each of the sides that need what is left."""
+    from stockpot.plans import matching as P
+
+    for query in (P.rank_lexicographic, P.rank_hybrid):
+        assert "recipe_tags" not in query(spark, data)._jdf.queryExecution().toString()
