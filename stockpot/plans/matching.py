@@ -72,7 +72,7 @@ def rank_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def recommend(spark: SparkSession, d: str) -> DataFrame:
     """The ranked recipes with their facts and seasonings from storage, as they are told when nothing is generated."""
-    ranked = rank_hybrid(spark, d).select("query_id", "recipe_id", "rank")
+    ranked = written(rank_hybrid(spark, d).select("query_id", "recipe_id", "rank"), "ranked")
     facts = M.recipe_facts(ranked, *(table(spark, d, t) for t in ("recipes", "recipe_ingredients", "ingredients")))
     return facts.join(ranked, ["query_id", "recipe_id"])
 

@@ -124,3 +124,9 @@ def test_ranking_starts_from_what_is_kept(spark, data):
 
     for query in (P.rank_lexicographic, P.rank_hybrid):
         assert "recipe_tags" not in query(spark, data)._jdf.queryExecution().toString()
+
+
+def test_facts_start_from_what_is_ranked(spark, data):
+    from stockpot.plans import matching as P
+
+    assert "row_number" not in P.recommend(spark, data)._jdf.queryExecution().toString()
